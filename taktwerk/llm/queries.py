@@ -7,14 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import bpe, common
+from taktwerk.llm import bpe, common, warc
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full payload digests and lengths as the archives' records carry them; a response's are checked against its body."""
+    read = warc.archive_and_read(common.table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc}
 
 #: DuckDB statements for the same rows, where SQL can express them on whole tables.
 ORACLE_SQL: dict[str, str] = {}
