@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import bpe, common, warc
+from taktwerk.llm import bpe, common, line_rules, sql, warc
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc}
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.verdicts(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency}
 
 #: DuckDB statements for the same rows, where SQL can express them on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_frequency": sql.OP4}
