@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import bpe, common, line_rules, sql, warc
+from taktwerk.llm import bpe, common, decontaminate, line_rules, sql, warc
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,12 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.drop("hit_spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency, "op2_decontaminate": op2_decontaminate}
 
 #: DuckDB statements for the same rows, where SQL can express them on whole tables.
-ORACLE_SQL: dict[str, str] = {"op4_line_frequency": sql.OP4}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_line_frequency": sql.OP4}
