@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import bpe, common, decontaminate, jaccard_join, line_rules, passages, sql, warc
+from taktwerk.llm import bpe, common, decontaminate, jaccard_join, language, line_rules, passages, sql, toxicity, warc
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,15 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency, "op2_decontaminate": op2_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op6_passages": op6_passages}
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(common.table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.graded(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency, "op2_decontaminate": op2_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op6_passages": op6_passages, "op1_language": op1_language, "op5_toxicity": op5_toxicity}
 
 #: DuckDB statements for the same rows, where SQL can express them on whole tables.
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_line_frequency": sql.OP4, "op8_jaccard_join": sql.OP8}
