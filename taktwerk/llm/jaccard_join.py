@@ -39,6 +39,7 @@ COUNT_BITS = 20
 FREQUENT_TIMES, FREQUENT_LEAST = 8, 32
 #: Shingles in a part of a group that is dealt with whole sets; rows in a part dealt with bit vectors.
 PART_SHINGLES, PART_ROWS = 2_000_000, 4096
+#: Bits of a vector at least; sets of many shingles have more.
 BITS = 2048
 LEAF, FAN = 32, 8
 BEST = 4
@@ -127,12 +128,29 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> D
 # ---------------------------------------------------------------- signature trees
 
 
-def bit_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 2048 bits for each set."""
-    flat = np.zeros((len(sets), BITS), bool)
-    for row, s in zip(flat, sets):
-        row[s & (BITS - 1)] = True
-    return np.packbits(flat, axis=1).view(np.uint64)
+def width_of(n: int) -> int:
+    """Bits for a set of n shingles: a power of two from 2n on, so that vectors of large sets do not fill up."""
+    return max(BITS, 1 << (2 * n - 1).bit_length())
+
+
+def bit_vector(values: np.ndarray, width: int) -> bytes:
+    bits = np.zeros(width, bool)
+    bits[values & (width - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A vector of fewer bits that has every element of the longer one: hashes are cut by their low bits."""
+    v = np.frombuffer(bits, np.uint64)
+    return np.bitwise_or.reduce(v.reshape(-1, width // 64), axis=0)
+
+
+def by_width(sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Groups of items whose vectors meet in one width: those of a width, and the larger ones near enough in size."""
+    widths = np.array([width_of(n) for n in sizes.tolist()])
+    for width in np.unique(widths).tolist():
+        near = (widths == 2 * width) & (percent * sizes <= 100 * (width // 2))
+        yield width, np.flatnonzero((widths == width) | near)
 
 
 class SignatureTree:
@@ -228,10 +246,13 @@ def link_group(sids: list[int], sizes: list[int], sets: list[np.ndarray], percen
                 if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]):
                     check(x, y)
     else:
-        tree = SignatureTree(np.array(sizes), bit_vectors(sets), labels, percent)
-        for xs, ys, _ in tree.walk():
-            for x, y in zip(xs.tolist(), ys.tolist()):
-                check(x, y)
+        for width, items in by_width(np.array(sizes), percent):
+            bits = np.stack([np.frombuffer(bit_vector(sets[i], width), np.uint64) for i in items.tolist()])
+            tree = SignatureTree(np.array(sizes)[items], bits, labels[items], percent)
+            for xs, ys, _ in tree.walk():
+                for x, y in zip(items[xs].tolist(), items[ys].tolist()):
+                    check(x, y)
+                tree.labels[:] = labels[items]
     out, ids = np.empty(m, np.int64), np.array(sids)
     for label in np.unique(labels):
         out[labels == label] = ids[labels == label].min()
@@ -261,8 +282,8 @@ def local_classes(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
             rows.sort(key=lambda r: r[:2])
             sizes, sids = [r[0] for r in rows], [r[1] for r in rows]
             sets = [unpack(r[2]) for r in rows]
-            bits = bit_vectors(sets)
-            out += zip(sids, link_group(sids, sizes, sets, percent).tolist(), sizes, (b.tobytes() for b in bits))
+            bits = (bit_vector(s, width_of(n)) for s, n in zip(sets, sizes))
+            out += zip(sids, link_group(sids, sizes, sets, percent).tolist(), sizes, bits)
             if len(out) >= 4096:
                 yield _rows(out)
                 out = []
@@ -285,17 +306,19 @@ def candidates(rows: DataFrame, best: int | None, percent: int = PERCENT) -> Dat
             labels = np.array([r[3] for r in group])
             if (labels == labels[0]).all():
                 continue
-            tree = SignatureTree(np.array([r[1] for r in group]), np.frombuffer(b"".join(r[4] for r in group), np.uint64).reshape(len(group), -1), labels, percent)
+            sizes = np.array([r[1] for r in group])
             seen: dict[tuple, int] = {}
-            for xs, ys, _ in tree.walk():
-                for x, y in zip(xs.tolist(), ys.tolist()):
-                    if i != j and group[x][0] == group[y][0]:
-                        continue
-                    x, y = (x, y) if group[x][2] < group[y][2] else (y, x)
-                    pair = (min(labels[x], labels[y]), max(labels[x], labels[y]))
-                    seen[pair] = seen.get(pair, 0) + 1
-                    if best is None or seen[pair] <= best:
-                        out.append((group[x][2], group[y][2], int(labels[x]), int(labels[y])))
+            for width, items in by_width(sizes, percent):
+                tree = SignatureTree(sizes[items], np.stack([folded(group[x][4], width) for x in items.tolist()]), labels[items], percent)
+                for xs, ys, _ in tree.walk():
+                    for x, y in zip(items[xs].tolist(), items[ys].tolist()):
+                        if i != j and group[x][0] == group[y][0]:
+                            continue
+                        x, y = (x, y) if group[x][2] < group[y][2] else (y, x)
+                        pair = (min(labels[x], labels[y]), max(labels[x], labels[y]))
+                        seen[pair] = seen.get(pair, 0) + 1
+                        if best is None or seen[pair] <= best:
+                            out.append((group[x][2], group[y][2], int(labels[x]), int(labels[y])))
             if len(out) >= 4096:
                 yield _rows(out)
                 out = []
