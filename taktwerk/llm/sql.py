@@ -1,5 +1,7 @@
 """DuckDB statements for the corpus queries that SQL can express on whole tables."""
 
+from taktwerk.llm import licenses
+
 OP4 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -48,3 +50,27 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
 """
+
+
+def _canonical(x: str) -> str:
+    lines = f"string_split(lower({x}), chr(10))"
+    told = " OR ".join(f"contains(l, '{c}')" for c in licenses.COPYRIGHT)
+    out = f"array_to_string(list_filter({lines}, lambda l: NOT ({told}) OR contains(l, 'notice') OR contains(l, 'holder')), ' ')"
+    out = f"' ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for other, one in licenses.SPELLINGS:
+        out = f"replace({out}, '{other}', '{one}')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+def op7() -> str:
+    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+    return f"""
+WITH k AS (SELECT DISTINCT license_id, {_canonical("t")} AS form FROM (VALUES {known}) v(license_id, t)),
+u AS (SELECT doc_id, 0 AS line, text AS t FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, i AS line, string_split(text, chr(10))[i] FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+f AS (SELECT doc_id, line, {_canonical("t")} AS form FROM u)
+SELECT f.doc_id, f.line::INTEGER AS line, k.license_id FROM f JOIN k USING (form) WHERE form <> ''
+"""
+
+
+OP7 = op7()
