@@ -51,6 +51,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def neutral(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with all columns but doc_id and text under names that clash with none, and what restores them."""
+    names = docs.columns
+    held = [n if n in ("doc_id", "text") else f"column_{i}_" for i, n in enumerate(names)]
+    return docs.toDF(*held), lambda df: df.select(*held).toDF(*names)
+
+
 # ---------------------------------------------------------------- vectors of fixed length
 
 

@@ -180,3 +180,12 @@ def contamination(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFra
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "hit_spans")
+
+
+def clean(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
+    """The documents without a hit, with their own columns. A hash of id and text tells documents apart, so null and
+    repeated ids are no matter."""
+    rows, restore = common.neutral(docs)
+    key = F.xxhash64("doc_id", "text")
+    hit = contamination(docs.select(key.alias("doc_id"), "text"), items, k).where("contaminated").select(F.col("doc_id").alias("key_")).distinct()
+    return restore(rows.withColumn("key_", key).join(hit, "key_", "left_anti"))

@@ -76,19 +76,19 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(rid, doc_id, sid, n, blob): row number, key, hash of the set (null if empty), its size and content."""
+    """(rid, doc_id, text_key, sid, n, blob): row number, key, hashes of the text and of the set (null if empty), its size and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sid, n, blob = [], [], []
-            for s in shingles(batch.column(2), k):
+            for s in shingles(batch.column(3), k):
                 n.append(len(s))
                 blob.append(pack(s) if len(s) else None)
                 sid.append(int(common.mix(np.array([common.mix(s + np.uint64(1)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"rid": batch.column(0), "doc_id": batch.column(1), "sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int64()), "blob": pa.array(blob, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"rid": batch.column(0), "doc_id": batch.column(1), "text_key": batch.column(2), "sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    return rows.mapInArrow(run, "rid bigint, doc_id bigint, sid bigint, n bigint, blob binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "rid bigint, doc_id bigint, text_key bigint, sid bigint, n bigint, blob binary")
 
 
 def frequent_cells(sets: DataFrame) -> np.ndarray:
@@ -380,6 +380,12 @@ def _between_classes(posts: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    alone = F.col("component").isNull()
+    return _judged(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n, component, component_id) of each document; no component where it has no words."""
     sets = common.save(shingle_sets(docs, k), "sets")
     first = sets.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"))
     prefix = prefixes(sets, frequent_cells(sets), percent).groupBy("h", "sid").agg(F.min("pos").alias("pos"))
@@ -408,6 +414,17 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
             cross = common.save(_between_classes(cross), "cross")
     leaders = local.select("sid", "leader").join(reached.select(F.col("id").alias("leader"), "component"), "leader", "left").select("sid", F.coalesce("component", "leader").alias("component"))
     named = first.select("sid", "least_id").join(leaders, "sid", "left").select("sid", "least_id", F.coalesce("component", "sid").alias("component"))
-    named = named.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("sid", "component_id")
-    out = sets.select("doc_id", "sid", "n").join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("sid", "component", "component_id")
+    return sets.select("doc_id", "text_key", "sid", "n").join(named, "sid", "left").select("doc_id", "text_key", "n", "component", "component_id")
+
+
+def representatives(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each class, with its own columns: that with the smallest doc_id (nulls last; of the same id the
+    one whose text hashes lower). Repeated rows of it are one. Documents without words are linked with nothing and stay."""
+    rows, restore = common.neutral(docs)
+    last = F.lit((1 << 63) - 1)
+    first = F.min(F.struct(F.coalesce("doc_id", last).alias("place_"), F.col("text_key").alias("text_key_")))
+    kept = _judged(docs, k, percent).where("n > 0").groupBy("component").agg(first.alias("w")).select("w.place_", "w.text_key_")
+    rows = rows.withColumns({"place_": F.coalesce("doc_id", last), "text_key_": F.xxhash64("text"), "worded_": F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
+    one = rows.where("worded_").join(kept, ["place_", "text_key_"], "left_semi").dropDuplicates(["place_", "text_key_"])
+    return restore(one.unionByName(rows.where("not worded_")))

@@ -174,4 +174,5 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rejected_removed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not toxic, with their own columns."""
-    return severity(docs, fit(docs, labels)).where("not toxic").select(*docs.columns)
+    rows, restore = common.neutral(docs)
+    return restore(severity(rows, fit(docs, labels)).where("not toxic"))
