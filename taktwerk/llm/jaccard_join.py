@@ -8,12 +8,12 @@ their prefixes is a posting list. Nodes then meet twice:
 1. by the first shared shingle, with their whole sets: a signature tree of the group (bit vectors combined by OR and
    ranges of size in each tree node) is traversed against itself, pairs of tree nodes are pruned by the largest
    overlap they allow, leaf pairs are checked exactly, and pairs that links already connect are passed over;
-2. by all posting lists that still hold nodes of different classes, each list of members once, with bit vectors
-   alone: the same traversal gives candidate pairs, which joins check against the whole sets. First the best few
-   candidates of two classes, then, for classes still apart, all.
+2. by all posting lists that still hold nodes of different classes, each list of members once: the same traversal
+   over bit vectors alone marks the members that may be similar to one of another class, and over the whole sets of
+   the marked ones it finds the links.
 
 So every pair at or above the threshold is checked or already connected; nothing is capped. Links become classes by
-distributed components. Groups are dealt in parts of bounded size (whole sets) or pairs of parts (bit vectors).
+distributed components. Groups are dealt in parts of bounded size (first shingles) or as pairs of parts (posting lists).
 
 Defined results: a null text, or one without words, has no shingles and is alone; fewer words than a shingle has are
 one shingle; copies and repeated rows share a class; a null doc_id is a row like any other, ignored in the smallest
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taktwerk.llm import common
@@ -41,8 +41,9 @@ FREQUENT_TIMES, FREQUENT_LEAST = 8, 32
 PART_SHINGLES, PART_ROWS = 2_000_000, 4096
 #: Bits of a vector at least; sets of many shingles have more.
 BITS = 2048
+#: Bits a shingle in the vectors that stand before an exact check.
+FINE = 64
 LEAF, FAN = 32, 8
-BEST = 4
 
 
 # ---------------------------------------------------------------- sets
@@ -231,32 +232,39 @@ def similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int = PERCE
     return 100 * both >= percent * (na + nb - both)
 
 
-def link_group(sids: list[int], sizes: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The smallest sid of each item's class within the group, all pairs taken into account."""
-    m = len(sids)
-    labels = np.arange(m)
+def link(sizes: list[int], sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT, skip: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Merges the labels of items that are similar, all pairs taken into account; returns the pairs that merged two.
+
+    Pairs within one part of ``skip`` are left to another task.
+    """
+    links: list[tuple[int, int]] = []
 
     def check(x: int, y: int) -> None:
-        if labels[x] != labels[y] and similar(sets[x], sizes[x], sets[y], sizes[y], percent):
+        if labels[x] != labels[y] and (skip is None or skip[x] != skip[y]) and similar(sets[x], sizes[x], sets[y], sizes[y], percent):
+            links.append((x, y))
             labels[labels == labels[y]] = labels[x]
 
-    if m <= 6:
-        for x in range(m):
+    if len(sizes) <= 6:
+        for x in range(len(sizes)):
             for y in range(x):
                 if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]):
                     check(x, y)
-    else:
-        for width, items in by_width(np.array(sizes), percent):
-            bits = np.stack([np.frombuffer(bit_vector(sets[i], width), np.uint64) for i in items.tolist()])
-            tree = SignatureTree(np.array(sizes)[items], bits, labels[items], percent)
-            for xs, ys, _ in tree.walk():
-                for x, y in zip(items[xs].tolist(), items[ys].tolist()):
-                    check(x, y)
-                tree.labels[:] = labels[items]
-    out, ids = np.empty(m, np.int64), np.array(sids)
-    for label in np.unique(labels):
-        out[labels == label] = ids[labels == label].min()
-    return out
+        return links
+    all_sizes = np.array(sizes)
+    for width, items in by_width(all_sizes, percent):
+        n = all_sizes[items]
+        fine = np.stack([np.frombuffer(bit_vector(sets[i], width * FINE // 2), np.uint64) for i in items.tolist()])
+        spare = n - np.bitwise_count(fine).sum(1, dtype=np.int64)
+        tree = SignatureTree(n, np.bitwise_or.reduce(fine.reshape(len(items), -1, width // 64), axis=1), labels[items], percent)
+        for xs, ys, _ in tree.walk():
+            for lo in range(0, len(xs), 256):
+                x, y = xs[lo : lo + 256], ys[lo : lo + 256]
+                overlap = np.bitwise_count(fine[x] & fine[y]).sum(1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+                ok = (100 + percent) * overlap >= percent * (n[x] + n[y])
+                for i, j in zip(items[x[ok]].tolist(), items[y[ok]].tolist()):
+                    check(i, j)
+            tree.labels[:] = labels[items]
+    return links
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -282,8 +290,10 @@ def local_classes(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
             rows.sort(key=lambda r: r[:2])
             sizes, sids = [r[0] for r in rows], [r[1] for r in rows]
             sets = [unpack(r[2]) for r in rows]
-            bits = (bit_vector(s, width_of(n)) for s, n in zip(sets, sizes))
-            out += zip(sids, link_group(sids, sizes, sets, percent).tolist(), sizes, bits)
+            labels, ids = np.arange(len(sids)), np.array(sids)
+            link(sizes, sets, labels, percent)
+            least = {label: int(ids[labels == label].min()) for label in np.unique(labels).tolist()}
+            out += zip(sids, map(least.__getitem__, labels.tolist()), sizes, (bit_vector(s, width_of(n)) for s, n in zip(sets, sizes)))
             if len(out) >= 4096:
                 yield _rows(out)
                 out = []
@@ -296,78 +306,86 @@ def local_classes(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     return parts.mapInArrow(run, "sid bigint, leader bigint, n bigint, bits binary")
 
 
-def candidates(rows: DataFrame, best: int | None, percent: int = PERCENT) -> DataFrame:
-    """(a, b, la, lb) from rows (h, i, j, part, n, sid, leader, bits) in order: pairs of different leaders that may be similar."""
+def marked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(h, sid, leader) from rows (h, i, j, part, n, sid, leader, bits) in order: members that may be similar to one of another leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (_, i, j), group in _by_group(batches, 3):
+        for (h, i, j), group in _by_group(batches, 3):
             group.sort(key=lambda r: r[1:3])
-            labels = np.array([r[3] for r in group])
+            labels, parts, sizes = (np.array([r[c] for r in group]) for c in (3, 0, 1))
             if (labels == labels[0]).all():
                 continue
-            sizes = np.array([r[1] for r in group])
-            seen: dict[tuple, int] = {}
+            near = np.zeros(len(group), bool)
             for width, items in by_width(sizes, percent):
                 tree = SignatureTree(sizes[items], np.stack([folded(group[x][4], width) for x in items.tolist()]), labels[items], percent)
                 for xs, ys, _ in tree.walk():
-                    for x, y in zip(items[xs].tolist(), items[ys].tolist()):
-                        if i != j and group[x][0] == group[y][0]:
-                            continue
-                        x, y = (x, y) if group[x][2] < group[y][2] else (y, x)
-                        pair = (min(labels[x], labels[y]), max(labels[x], labels[y]))
-                        seen[pair] = seen.get(pair, 0) + 1
-                        if best is None or seen[pair] <= best:
-                            out.append((group[x][2], group[y][2], int(labels[x]), int(labels[y])))
+                    x, y = items[xs], items[ys]
+                    if i != j:
+                        apart = parts[x] != parts[y]
+                        x, y = x[apart], y[apart]
+                    near[x] = near[y] = True
+            out += [(h, group[x][2], int(labels[x])) for x in np.flatnonzero(near).tolist()]
             if len(out) >= 4096:
-                yield _rows(out)
+                yield _longs(("h", "sid", "leader"), out)
                 out = []
-        if out:
-            yield _rows(out)
+        yield _longs(("h", "sid", "leader"), out)
+
+    return rows.mapInArrow(run, "h bigint, sid bigint, leader bigint").distinct()
+
+
+def linked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v) from rows (h, i, j, part, n, sid, leader, blob) in order: leaders of similar members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (_, i, j), group in _by_group(batches, 3):
+            group.sort(key=lambda r: r[1:3])
+            leaders = [r[3] for r in group]
+            labels = np.unique(leaders, return_inverse=True)[1]
+            parts = np.array([r[0] for r in group]) if i != j else None
+            pairs = link([r[1] for r in group], [unpack(r[4]) for r in group], labels, percent, parts)
+            out += {(leaders[x], leaders[y]) for x, y in pairs}
+            if len(out) >= 4096:
+                yield _longs(("u", "v"), out)
+                out = []
+        yield _longs(("u", "v"), out)
+
+    return rows.mapInArrow(run, "u bigint, v bigint").distinct()
 
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "la", "lb"), zip(*out))})
 
-    return rows.mapInArrow(run, "a bigint, b bigint, la bigint, lb bigint").distinct()
+def _longs(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
 
-def verified(pairs: DataFrame, sets: DataFrame, first: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose whole sets are similar enough. A bit vector of fixed length passes over most sets that no pair asks for."""
+def whole_sets(sids: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
+    """(sid, n, blob) of the sets asked for. A bit vector of fixed length passes over most that nobody asks for."""
     mask = (1 << COUNT_BITS) - 1
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        total[np.array(batch.column(0).to_pylist(), np.int64) & mask] = 1
+        total[np.array(batch.column(0)) & mask] = 1
 
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    shared = pairs.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(sids, add, 1 << COUNT_BITS) > 0))
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(sids, add, 1 << COUNT_BITS) > 0))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(asked[np.array(batch.column(1).to_pylist(), np.int64) & mask]))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = [x.to_pylist() for x in batch.columns]
-            ok = [similar(unpack(x), na, unpack(y), nb, percent) for na, x, nb, y in zip(*c[4:])]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "la", "lb"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.filter(pa.array(asked[np.array(batch.column(1)) & mask]))
 
     asked = sets.where("n > 0").select("rid", "sid", "n", "blob").mapInArrow(keep, "rid bigint, sid bigint, n bigint, blob binary")
-    asked = common.save(asked.join(first.join(sids, "sid").select("rid"), "rid").select("sid", "n", "blob"), "asked")
-    full = pairs.join(asked.toDF("a", "na", "xa"), "a").join(asked.toDF("b", "nb", "xb"), "b")
-    return full.select("a", "b", "la", "lb", "na", "xa", "nb", "xb").mapInArrow(check, "a bigint, b bigint, la bigint, lb bigint")
+    return asked.join(first.join(sids, "sid").select("rid"), "rid").select("sid", "n", "blob")
 
 
 # ---------------------------------------------------------------- the join
 
 
-def _dealt(cross: DataFrame, local: DataFrame) -> DataFrame:
-    """Posting rows with bit vectors, in order by list; a long list is dealt as pairs of its parts."""
-    parts = F.ceil(F.count("*").over(Window.partitionBy("h")) / F.lit(PART_ROWS)).cast("int")
-    rows = cross.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+def _dealt(cross: DataFrame, content: DataFrame, column: str, size: Column, most: int) -> DataFrame:
+    """Posting rows with the content of their sets, in order by list; a long list is dealt as pairs of its parts."""
+    parts = F.ceil(size.over(Window.partitionBy("h")) / F.lit(most)).cast("int")
+    rows = cross.join(content.select("sid", "n"), "sid").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "leader")
-    rows = rows.join(local.select("sid", "n", "bits"), "sid").select("h", "i", "j", "part", "n", "sid", "leader", "bits")
+    rows = rows.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "n", "sid", "leader")
+    rows = rows.join(content.select("sid", column), "sid").select("h", "i", "j", "part", "n", "sid", "leader", column)
     return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
 
@@ -400,18 +418,11 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     local = common.save(local_classes(whole.repartition("key", "part").sortWithinPartitions("key", "part"), percent), "local")
 
     cross = common.save(_between_classes(posts.select("h", "sid").join(local.select("sid", "leader"), "sid")), "cross")
-    links = None
-    for best in (BEST, None):
-        pairs = common.save(candidates(_dealt(cross, local), best, percent), "pairs")
-        new = common.save(verified(pairs, sets, first, percent).select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct(), "links")
-        links = new if links is None else links.unionByName(new)
-        reached = common.save(common.components(links), "classes")
-        if best is not None:
-            names = reached.select(F.col("id").alias("leader"), "component")
-            cross = cross.join(names, "leader", "left").select("h", "sid", F.coalesce("component", "leader").alias("leader"))
-            # links so far are between first leaders; from here on they are between classes
-            links = links.unionByName(reached.select(F.col("id").alias("u"), F.col("component").alias("v")))
-            cross = common.save(_between_classes(cross), "cross")
+    near = common.save(marked(_dealt(cross, local, "bits", F.count("*"), PART_ROWS), percent), "near")
+    near = common.save(_between_classes(near), "near-lists")
+    asked = common.save(whole_sets(near.select("sid").distinct(), sets, first), "asked")
+    links = linked(_dealt(near, asked, "blob", F.sum("n"), PART_SHINGLES), percent)
+    reached = common.save(common.components(links), "classes")
     leaders = local.select("sid", "leader").join(reached.select(F.col("id").alias("leader"), "component"), "leader", "left").select("sid", F.coalesce("component", "leader").alias("component"))
     named = first.select("sid", "least_id").join(leaders, "sid", "left").select("sid", "least_id", F.coalesce("component", "sid").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("sid", "component", "component_id")
