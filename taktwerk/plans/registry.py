@@ -6,5 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taktwerk.sources.fixtures import PRELUDE, Fixtures
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, prelude: bool = True):
+    """Registers a plan over the fixtures; ``sql`` follows the fixtures' common table expressions."""
+
+    def add(plan: Callable[[Fixtures], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: plan(Fixtures(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = (PRELUDE + (sql if sql.lstrip().startswith(",") else " " + sql)) if prelude else sql
+        return plan
+
+    return add
+
+
+from taktwerk.plans import delays, discovery, live, operations, statistics, stops, streams, trips, vehicles  # noqa: E402, F401
