@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of finished steps once the driver has collected what referred to them; asks for that."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def neutral(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The documents with all columns but doc_id and text under names that clash with none, and what restores them."""
     names = docs.columns

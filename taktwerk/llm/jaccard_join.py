@@ -111,9 +111,13 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.unpackbits(shared.value).astype(bool)
+        seen: set[int] = set()  # copies that a task has met: before the shuffle a set counts once in each task
         for batch in batches:
             hs, sids, pos = [], [], []
             for sid, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if sid in seen:
+                    continue
+                seen.add(sid)
                 v = unpack(blob)
                 late = last[v & mask]
                 p = np.concatenate([v[~late], v[late]])[: n - -(-n * percent // 100) + 1]
@@ -126,6 +130,12 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> D
     return sets.where("n > 0").select("sid", "n", "blob").mapInArrow(run, "h bigint, sid bigint, pos int")
 
 
+def shared_postings(prefix: DataFrame) -> DataFrame:
+    """(h, sid, pos) of shingles that two sets or more have in their prefixes; one shuffle, each row once."""
+    w = Window.partitionBy("h")
+    return prefix.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where("lo < hi").drop("lo", "hi").dropDuplicates(["h", "sid"])
+
+
 # ---------------------------------------------------------------- signature trees
 
 
@@ -358,22 +368,23 @@ def _longs(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
 
-def whole_sets(sids: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
-    """(sid, n, blob) of the sets asked for. A bit vector of fixed length passes over most that nobody asks for."""
+def whole_sets(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (sid, rid, ...) with size n and content blob of their sets. A bit vector of fixed length
+    passes over most sets that nobody asks for before they are shuffled."""
     mask = (1 << COUNT_BITS) - 1
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
         total[np.array(batch.column(0)) & mask] = 1
 
-    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(sids, add, 1 << COUNT_BITS) > 0))
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(wanted.select("sid"), add, 1 << COUNT_BITS) > 0))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(asked[np.array(batch.column(1)) & mask]))
+            yield batch.filter(pa.array(asked[np.array(batch.column(1)) & mask])).select(["rid", "n", "blob"])
 
-    asked = sets.where("n > 0").select("rid", "sid", "n", "blob").mapInArrow(keep, "rid bigint, sid bigint, n bigint, blob binary")
-    return asked.join(first.join(sids, "sid").select("rid"), "rid").select("sid", "n", "blob")
+    asked = sets.where("n > 0").select("rid", "sid", "n", "blob").mapInArrow(keep, "rid bigint, n bigint, blob binary")
+    return asked.join(wanted, "rid")
 
 
 # ---------------------------------------------------------------- the join
@@ -406,21 +417,22 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n, component, component_id) of each document; no component where it has no words."""
     sets = common.save(shingle_sets(docs, k), "sets")
     first = sets.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"))
-    prefix = prefixes(sets, frequent_cells(sets), percent).groupBy("h", "sid").agg(F.min("pos").alias("pos"))
-    size = F.count("*").over(Window.partitionBy("h"))
-    posts = common.save(prefix.withColumn("c", size).where("c > 1").drop("c"), "posts")
+    posts = common.save(shared_postings(prefixes(sets, frequent_cells(sets), percent)), "posts")
+    common.settle(docs.sparkSession)
 
     keys = posts.groupBy("sid").agg(F.min_by("h", "pos").alias("key")).join(first, "sid").select("sid", "rid", "key")
-    keys = keys.join(sets.select("rid", "n"), "rid")
-    parts = F.ceil(F.sum("n").over(Window.partitionBy("key")) / F.lit(PART_SHINGLES))
-    keys = keys.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).select("rid", "key", "part")
-    whole = sets.where("n > 0").select("rid", "n", "sid", "blob").join(keys, "rid").select("key", "part", "n", "sid", "blob")
-    local = common.save(local_classes(whole.repartition("key", "part").sortWithinPartitions("key", "part"), percent), "local")
+    keys = keys.join(sets.select("rid", F.col("n").alias("size")), "rid")
+    parts = F.ceil(F.sum("size").over(Window.partitionBy("key")) / F.lit(PART_SHINGLES))
+    keys = common.save(keys.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).select("sid", "rid", "key", "part"), "keys")
+    whole = whole_sets(keys, sets).select("key", "part", "n", "sid", "blob").repartition("key", "part").sortWithinPartitions("key", "part")
+    local = common.save(local_classes(whole, percent), "local")
+    common.settle(docs.sparkSession)
 
     cross = common.save(_between_classes(posts.select("h", "sid").join(local.select("sid", "leader"), "sid")), "cross")
     near = common.save(marked(_dealt(cross, local, "bits", F.count("*"), PART_ROWS), percent), "near")
     near = common.save(_between_classes(near), "near-lists")
-    asked = common.save(whole_sets(near.select("sid").distinct(), sets, first), "asked")
+    common.settle(docs.sparkSession)
+    asked = common.save(whole_sets(near.select("sid").distinct().join(first, "sid").select("sid", "rid"), sets).select("sid", "n", "blob"), "asked")
     links = linked(_dealt(near, asked, "blob", F.sum("n"), PART_SHINGLES), percent)
     reached = common.save(common.components(links), "classes")
     leaders = local.select("sid", "leader").join(reached.select(F.col("id").alias("leader"), "component"), "leader", "left").select("sid", F.coalesce("component", "leader").alias("component"))
