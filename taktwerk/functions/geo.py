@@ -21,7 +21,8 @@ def leg_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Null stays null; the least and greatest of Spark would pass over it."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def fraction_along(lat: Column, lon: Column, lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
