@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
 
+#: Rows that a Python worker gets at a time: texts and sets are long, and a worker should hold little.
+BATCH_ROWS = 512
+
 U64 = np.uint64
 
 
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.parquet(path)
@@ -75,6 +84,7 @@ def summed_vector(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], Non
     summed where they meet, and the driver gets ``length`` numbers whatever the input's size.
     """
     width = -(-length // ranges)
+    bound_batches(df.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(width * ranges, np.int64), False
