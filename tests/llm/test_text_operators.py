@@ -59,7 +59,7 @@ def test_ordinal_thresholds_are_ordered():
     y = np.clip(x[:, 0] + x[:, 1], 0, 2)
     text, feature = np.nonzero(x)
     w, t = toxicity.fit_ordinal(text, feature, np.ones(len(text)), y, 3, 3)
-    p = toxicity.Model(np.zeros(0), w, t).at_least(x @ w)
+    p = toxicity.Model(np.zeros(0), np.zeros(0), w, t).at_least(x @ w)
     assert t[0] <= t[1] and (p[:, 0] >= p[:, 1]).all()
     assert abs(w[2]) < 0.5 * min(w[0], w[1])
     assert ((p > 0.5).sum(1) == y).mean() > 0.9
