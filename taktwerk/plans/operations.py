@@ -173,3 +173,43 @@ def health(t: Fixtures):
 def summary_metrics(t: Fixtures):
     """Rows that a query reads, as its summary tells."""
     return t.trips.where((F.col("fahrzeugnummer") == VEHICLE) & (F.col("betriebstag") < F.lit(AS_OF).cast("date"))).agg(F.count("*").alias("read_rows"))
+
+
+@query("stale_keys", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE user_id % 3 = 0)", prelude=False)
+def stale_keys(t: Fixtures):
+    """Index entries whose key is gone; here every third user has one."""
+    alive = t.events.where("user_id % 3 = 0").select("user_id").distinct()
+    return t.events.select("event_id", "user_id").join(alive, "user_id", "left_anti").select("event_id")
+
+
+@query("values_of_keys", "SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events WHERE event_id % 10 = 0", prelude=False)
+def values_of_keys(t: Fixtures):
+    """The decoded values of some keys; what cannot be decoded is left out."""
+    keys = t.events.where("event_id % 10 = 0").select("event_id")
+    value = F.from_json("props", "k int", {"mode": "PERMISSIVE"})["k"]
+    return t.events.select("event_id", value.alias("k")).join(keys, "event_id", "left_semi").where("k is not null")
+
+
+@query("required_ids", "SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE event_type = 'signup'", prelude=False)
+def required_ids(t: Fixtures):
+    """A stored set and what a history adds to it."""
+    return t.events.where("event_type = 'error'").select("user_id").union(t.events.where("event_type = 'signup'").select("user_id")).distinct()
+
+
+@query("job_counts", "SELECT count(*) FILTER (WHERE event_type = 'view') AS waiting, count(*) FILTER (WHERE event_type = 'click') AS active, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events", prelude=False)
+def job_counts(t: Fixtures):
+    return t.events.agg(*[F.count_if(F.col("event_type") == e).alias(n) for e, n in (("view", "waiting"), ("click", "active"), ("error", "failed"))])
+
+
+@query("filled_options", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS n FROM events", prelude=False)
+def filled_options(t: Fixtures):
+    """Options that have a value."""
+    options = F.create_map(F.lit("Line"), F.when(F.col("event_id") % 3 == 0, "").otherwise("U1"), F.lit("Product"), F.col("event_type"), F.lit("TimeSpan"), F.lit(None).cast("string"))
+    left = F.map_filter(options, lambda k, v: v.isNotNull() & (v != ""))
+    return t.events.select("event_id", F.size(left).alias("n"))
+
+
+@query("rows_a_second", "SELECT event_type, count(*) / 1e1 AS rows_a_second FROM events GROUP BY 1", prelude=False)
+def rows_a_second(t: Fixtures):
+    """Rows read in a second, from a summary of rows and nanoseconds."""
+    return t.events.groupBy("event_type").agg((F.count("*") / (F.lit(10_000_000_000) / F.lit(1e9))).alias("rows_a_second"))
