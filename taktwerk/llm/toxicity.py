@@ -1,13 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are words and their beginnings (4, 5 and 6 bytes), told apart by 64-bit hashes. Over all labelled rows the
-documents of each of 2**19 buckets of features are counted by label; in the buckets whose log-odds differ most from
+Features are words and their beginnings (4, 5 and 6 bytes), told apart by 64-bit hashes. The model is fitted
+on a bounded sample of labelled rows (``MAX_TRAIN``, by a hash of the id). There the documents of each of 2**19 buckets
+of features are counted by label; in the buckets whose log-odds differ most from
 chance (``BUCKETS_KEPT``) the documents of each single feature are counted, and of these the ``KEEP`` that differ most
 stay, beyond ``LEAST_Z`` standard errors.
 Grades: 0 for a row labelled not toxic; toxic rows are graded 1 or 2 by whether the words with clearly toxic features
 make up less or more than the median share among toxic rows, since the labels themselves have two values. The model
-has one weight for each feature, shared by all grades, and ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k). It
-is fitted on a bounded sample of labelled rows (``MAX_TRAIN``) by accelerated proximal gradient steps with an L1 penalty.
+has one weight for each feature, shared by all grades, and ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k), fitted
+by accelerated proximal gradient steps with an L1 penalty.
 
 Defined results: a null text, or one without words, has no features and gets the severity of the thresholds alone;
 labels that are null teach nothing, nor do labels without a document; without labels of both kinds nothing is toxic
@@ -123,7 +124,10 @@ def fit_ordinal(text: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     labelled = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = common.save(docs.where("text is not null").select("doc_id", "text").join(labelled, "doc_id"), "labelled")
+    fraction = min(1.0, max_train / max(1, labelled.count()))
+    # about max_train ids, whatever the labels' number: their size is bound, so they may be broadcast
+    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < fraction * (1 << 30))
+    rows = common.save(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
         toxic = np.array(batch.column(1).to_pylist()) > 0
@@ -163,8 +167,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     buckets = np.packbits(chosen)
     # clearly toxic: many times likelier in toxic rows
     clear = np.array([r["z"] > 3 and r["t"] / n1 > 20 * r["c"] / n0 for r in best], bool)
-    fraction = min(1.0, max_train / (n0 + n1))
-
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(1).to_pylist()
@@ -175,8 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
                 hit = np.bincount(text[np.unique(word[clear[at]])] if len(at) else [], minlength=len(n))
                 yield pa.RecordBatch.from_pydict({"toxic": pa.array(y[lo : lo + len(n)], pa.int32()), "share": pa.array(hit / np.maximum(n, 1), pa.float64()), "feature": pa.array([feature[i:j] for i, j in zip(edges, edges[1:])], pa.list_(pa.int64())), "x": pa.array([x[i:j] for i, j in zip(edges, edges[1:])], pa.list_(pa.float64()))})
 
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < fraction * (1 << 30)).select("text", "toxic")
-    got = picked.mapInArrow(sample, "toxic int, share double, feature array<bigint>, x array<double>").orderBy("toxic", "share").toArrow()
+    got = rows.select("text", "toxic").mapInArrow(sample, "toxic int, share double, feature array<bigint>, x array<double>").orderBy("toxic", "share").toArrow()
     y = np.array(got["toxic"].to_pylist(), np.int64)
     dense = np.array(got["share"].to_pylist())
     middle = float(np.median(dense[y > 0])) if (y > 0).any() else 0.0
