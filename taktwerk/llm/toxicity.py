@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,25 +168,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     buckets = np.packbits(chosen)
     # clearly toxic: many times likelier in toxic rows
     clear = np.array([r["z"] > 3 and r["t"] / n1 > 20 * r["c"] / n0 for r in best], bool)
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(1).to_pylist()
-            for lo, f, text, n in features(batch.column(0)):
+            y = batch.column(2).to_pylist()
+            for lo, f, text, n in features(batch.column(1)):
                 t, feature, x = amounts(f, text, n, kept, buckets)
                 edges = np.searchsorted(t, np.arange(len(n) + 1))
                 word, at = places(f, kept, buckets)
                 hit = np.bincount(text[np.unique(word[clear[at]])] if len(at) else [], minlength=len(n))
-                yield pa.RecordBatch.from_pydict({"toxic": pa.array(y[lo : lo + len(n)], pa.int32()), "share": pa.array(hit / np.maximum(n, 1), pa.float64()), "feature": pa.array([feature[i:j] for i, j in zip(edges, edges[1:])], pa.list_(pa.int64())), "x": pa.array([x[i:j] for i, j in zip(edges, edges[1:])], pa.list_(pa.float64()))})
+                edges = pa.array(edges, pa.int32())
+                yield pa.RecordBatch.from_pydict({"o": batch.column(0).slice(lo, len(n)), "toxic": pa.array(y[lo : lo + len(n)], pa.int32()), "share": pa.array(hit / np.maximum(n, 1), pa.float64()), "feature": pa.ListArray.from_arrays(edges, feature.astype(np.int16)), "x": pa.ListArray.from_arrays(edges, x.astype(np.float32))})
 
-    got = rows.select("text", "toxic").mapInArrow(sample, "toxic int, share double, feature array<bigint>, x array<double>").orderBy("toxic", "share").toArrow()
-    y = np.array(got["toxic"].to_pylist(), np.int64)
-    dense = np.array(got["share"].to_pylist())
+    # the sample is bounded; it stays in arrays of few bytes on the driver, in an order that does not depend on tasks
+    got = rows.select(F.xxhash64("doc_id", "text").alias("o"), "text", "toxic").mapInArrow(sample, "o bigint, toxic int, share double, feature array<smallint>, x array<float>").toArrow().sort_by("o")
+    y, dense = got["toxic"].to_numpy().astype(np.int64), got["share"].to_numpy()
     middle = float(np.median(dense[y > 0])) if (y > 0).any() else 0.0
     grade = np.where(y > 0, 1 + (dense > middle), 0)
-    lists = got["feature"].to_pylist()
-    text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.array([i for x in lists for i in x], np.int64)
-    x = np.array([i for v in got["x"].to_pylist() for i in v], float)
+    text = np.repeat(np.arange(len(y)), pc.list_value_length(got["feature"]).to_numpy())
+    feature = pc.list_flatten(got["feature"]).to_numpy().astype(np.int64)
+    x = pc.list_flatten(got["x"]).to_numpy().astype(float)
+    del got
     w, t = fit_ordinal(text, feature, x, grade, KEEP, 3)
     common.discard(rows)
     return Model(kept, buckets, w, t)
