@@ -10,12 +10,13 @@ The index stores the terms that the test items may ask for: a bit vector of fixe
 items there are) tells which, so the filter is a superset and costs no result.
 
 Defined results: a null text has no words and no hits; an item without words has no window; an item with a null id
-marks words but is not listed; repeated items count once by id; repeated or null doc_ids are separate documents,
+marks words but is not listed; different texts of one id, or without one, are each looked for; items count once by id; repeated or null doc_ids are separate documents,
 a row each; an empty corpus or benchmark gives no hits. Whole texts are indexed. Terms are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -103,7 +104,8 @@ def build_index(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(item_id, window, terms): k consecutive words of an item, or all of a shorter one."""
+    """(item_id, key, window, terms): k consecutive words of an item, or all of a shorter one; key is a hash of the
+    item's terms, so that texts which share an id, or have none, stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,10 +114,12 @@ def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
             for lo, h, first in term_hashes(batch.column(1)):
                 h = h.view(np.int64)
                 for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                    out += [(ids[lo + i], w, h[a + w : min(b, a + w + k)]) for w in range(max(1, b - a - k + 1)) if b > a]
-            yield pa.RecordBatch.from_pydict({"item_id": pa.array([r[0] for r in out], pa.int64()), "window": pa.array([r[1] for r in out], pa.int32()), "terms": pa.array([r[2] for r in out], pa.list_(pa.int64()))})
+                    key = int.from_bytes(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
+                    out += [(ids[lo + i], key, w, h[a + w : min(b, a + w + k)]) for w in range(max(1, b - a - k + 1)) if b > a]
+            kinds = {"item_id": pa.int64(), "key": pa.int64(), "window": pa.int32(), "terms": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
 
-    return items.select("item_id", "text").mapInArrow(run, "item_id bigint, window int, terms array<bigint>")
+    return items.select("item_id", "text").mapInArrow(run, "item_id bigint, key bigint, window int, terms array<bigint>")
 
 
 def occurrences(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
@@ -125,11 +129,11 @@ def occurrences(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFram
     """
     postings = index.where("term is not null")
     frequency = postings.groupBy("term").agg(F.sum("n").alias("df"))
-    terms = windows.select("item_id", "window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
-    ranked = terms.join(frequency, "term", "left").groupBy("item_id", "window", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("terms"))
+    terms = windows.select("item_id", "key", "window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
+    ranked = terms.join(frequency, "term", "left").groupBy("item_id", "key", "window", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("terms"))
     ranked = common.save(ranked.where(F.col("terms")[0]["df"] > 0).withColumn("rarest", F.col("terms")[0]["term"]), "windows")
     chunks = 1 + ranked.count() // WINDOWS_A_TASK
-    probes = ranked.join(postings.select(F.col("term").alias("rarest"), "block"), "rarest").withColumn("chunk", F.pmod(F.xxhash64("item_id", "window"), F.lit(chunks)))
+    probes = ranked.join(postings.select(F.col("term").alias("rarest"), "block"), "rarest").withColumn("chunk", F.pmod(F.xxhash64("item_id", "key", "window"), F.lit(chunks)))
     probes = common.save(probes.select("block", "chunk", "item_id", "length", F.col("terms.term").alias("terms"), F.col("terms.off").alias("offs")), "probes")
     needed = probes.select("block", "chunk", F.explode("terms").alias("term")).distinct()
     lists = postings.join(needed, ["block", "term"]).select("block", "chunk", "term", "positions")

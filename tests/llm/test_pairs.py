@@ -220,6 +220,15 @@ def test_windows_edges(spark, edges, nothing, base_text):
     assert {1, 6, 7, 9, 12}.isdisjoint(r.doc_id for r in clean.collect()) and clean.where("doc_id is null").count() == 2
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    texts = [" ".join(f"{x}{j}" for j in range(14)) for x in "abcde"]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3])], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {0: (14, 0, True), 1: (14, 0, True), 2: (14, 1, True), 3: (14, 1, True), 4: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [4]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x a b y c d z"), (2, "a b c d"), (3, "d c b a")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
