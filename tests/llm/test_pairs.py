@@ -204,6 +204,22 @@ def test_passage_edges(spark, edges, nothing, base_text):
     assert passages.passages(nothing).count() == 0 and passages.deduplicated(nothing).count() == 0
 
 
+def test_one_of_equal_places_keeps_a_passage(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    shared = {i: " ".join(rng.choices(vocabulary, k=90)) for i in (None, 4)}
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=30), shared[i], *rng.choices(vocabulary, k=30)])) for i in shared for _ in range(12)]
+    left = passages.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(24)).collect()
+    assert len(left) == 24
+    for i, passage in shared.items():
+        assert sum(passage in r.text for r in left if r.doc_id == i) == 1
+        assert sum(set(passage.split()[10:80]) <= set(r.text.split()) for r in left) == 1
+    # seeds may meet the two documents in any order
+    seed = [(h, passages.LAST, uid, 10 * h) for h in range(20) for uid in ((5, -5) if h % 2 else (-5, 5))]
+    got = passages.matches(spark.createDataFrame(seed, "h long, place long, uid long, pos int").repartition(1)).collect()
+    assert {(r.uid, r.uid0) for r in got} == {(5, -5)} and len(got) == 20
+
+
 def test_windows_edges(spark, edges, nothing, base_text):
     w = base_text.split()
     items = spark.createDataFrame([(1, " ".join(w[5:30])), (2, "ONE"), (3, None), (4, ""), (5, " ".join(w[100:104])), (5, " ".join(w[100:104])), (None, " ".join(w[50:61])), (7, "absent words " * 6)], "item_id long, text string")
