@@ -204,6 +204,46 @@ def test_passage_edges(spark, edges, nothing, base_text):
     assert passages.passages(nothing).count() == 0 and passages.deduplicated(nothing).count() == 0
 
 
+def test_repeats_and_stitched_passages_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    words = lambda n: rng.choices(vocabulary, k=n)
+    line, pieces = words(7), [words(13) for _ in range(5)]
+    stitched = sum(pieces, [])
+    docs = [words(40) + p + words(40) for p in pieces]
+    docs += [words(20) + stitched + words(30), words(35) + stitched + words(10)]  # the pieces first stood in five others
+    docs += [words(20) + line * 9 + words(10), words(5) + line * 12, words(30) + line * 8 + words(30)]
+    docs += [words(9) + ["one"] * 60 + words(9), ["one"] * 55, words(12) + ["one"] * 49]
+    docs = {i: " ".join(w) for i, w in enumerate(docs)}
+    got = {i: set() for i in docs}
+    for r in passages.passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect():
+        assert r.source_id < r.doc_id and r.source_end <= len(docs[r.source_id].split())
+        got[r.doc_id].update(range(r.start, r.end))
+    want = passages_of(docs)
+    assert {i for i in docs if want[i]} == {6, 8, 9, 11}
+    assert all(want[i] <= got[i] for i in docs)
+    assert {i for i in docs if got[i]} <= {6, 8, 9, 11}
+
+
+def test_links_do_not_depend_on_batches(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = sorted({(rng.randint(0, 6), p := rng.randint(0, 9), p, rng.randint(0, 30)) for _ in range(300)})
+    seed = spark.createDataFrame(rows, "h long, place long, uid long, pos int").repartition(1)
+    where = {}
+    for h, _, uid, pos in rows:
+        where.setdefault(h, {}).setdefault(uid, []).append(pos)
+    want = []
+    for places in where.values():
+        ids = sorted(places)
+        for n, uid in enumerate(ids):
+            for to in sorted({ids[0], ids[n - 1]}) if n else ():
+                want += [(uid, to, pos, places[to][min(j, len(places[to]) - 1)]) for j, pos in enumerate(places[uid])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    for size in (1, 40, 1 << 16):
+        monkeypatch.setattr(passages, "ROWS_AT_ONCE", size)
+        assert sorted((r.uid, r.uid0, r.pos, r.pos0) for r in passages.matches(seed).collect()) == sorted(want)
+
+
 def test_one_of_equal_places_keeps_a_passage(spark):
     rng = random.Random(12)
     vocabulary = [f"v{i}" for i in range(5000)]
