@@ -2,8 +2,8 @@
 
 A text is brought to a canonical form (lower case, copyright lines dropped, punctuation and white space made one
 space, equivalent spellings made one) and its SHA-256 is joined to the digests of known licences in the same form.
-Scanned are entire documents and, for notices, entire lines. The known licences are a table; the one below has a
-fixed number of short texts, so its digests are broadcast; a longer table is joined by shuffle.
+Scanned are entire documents and, for notices, entire lines. The known licences are a table; the one built in has a
+fixed number of texts (the files in ``known_licenses``, short ones and notices below), so its digests are broadcast; a longer table is joined by shuffle.
 
 Defined results: a null text matches nothing; an empty text, or one that is empty in canonical form, matches nothing
 even if a known text is; repeated rows match each; a null doc_id is kept; known texts with one canonical form give a
@@ -12,6 +12,8 @@ row each; an empty table gives an empty table; other columns are not read. Whole
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ BROADCAST_ROWS = 1000
 COPYRIGHT = ("copyright", "(c)", "©", "all rights reserved")
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorisation", "authorization"), ("favour", "favor"), ("fulfil ", "fulfill "), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("sub license", "sublicense"), ("whilst", "while"), ("wilful", "willful"), (" https ", " http "))
 
-# fixed values: texts and notices of licences
-KNOWN = (
+# fixed values: short texts and notices of licences
+SHORT = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
@@ -39,6 +41,28 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
+# fixed values: title lines under which texts without one of their own stand in repositories
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    """Short texts and notices, the full texts in ``known_licenses`` (a file each, named by its id), and both under their titles."""
+    files = sorted((f for f in resources.files(__package__).joinpath("known_licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    full = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files]
+    bodies = [*SHORT[:3], *full]
+    return (*SHORT, *full, *((i, f"{title}\n\n{text}") for i, text in bodies for title in TITLES.get(i, ())))
+
+
+KNOWN = _known()
+
 
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines; letters, digits and single spaces; one spelling of equivalent words."""

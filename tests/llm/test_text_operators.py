@@ -1,6 +1,7 @@
 """Language, toxicity, quality, licences and line rules."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -106,6 +107,22 @@ def test_licences(spark, edges, nothing):
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), long_table).count() == len(got)
 
 
+def test_full_licence_files(spark):
+    texts = dict(licenses.KNOWN[:3])
+    files = {}
+    for i, t in licenses.KNOWN[13:]:
+        files.setdefault(i, t)
+    wrapped = lambda t: "\n\n".join(textwrap.fill(p, 78) for p in t.split("\n\n"))
+    told = "\n\nCopyright (c) 2021 Some Body <some@body.org>\nAll rights reserved.\n\n"
+    docs = [
+        ("MIT", "MIT License" + told + wrapped(texts["MIT"]) + "\n"), ("MIT", "The MIT License (MIT)" + told + wrapped(texts["MIT"])), ("ISC", "ISC License" + told + wrapped(texts["ISC"])),
+        ("BSD-3-Clause", "BSD 3-Clause License" + told + files["BSD-3-Clause"]),
+        ("Apache-2.0", files["Apache-2.0"]), ("GPL-2.0", files["GPL-2.0"]), ("GPL-3.0", files["GPL-3.0"]), ("AGPL-3.0", files["AGPL-3.0"]), ("MPL-2.0", files["MPL-2.0"]), ("Zlib", files["Zlib"]), ("Unlicense", files["Unlicense"]),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")).where("line = 0").collect()
+    assert sorted((r.doc_id, r.license_id) for r in got) == [(i, n) for i, (n, _) in enumerate(docs)]
+
+
 @pytest.mark.parametrize("n", [10, 11])
 def test_line_limit(spark, n):
     shared = "this line stands in many documents of one host and says nothing new at all really"
