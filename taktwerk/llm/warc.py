@@ -161,7 +161,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """The records of the archives of a manifest: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records of the archives of a manifest: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+
+    A response whose body has another length or digest than its header says, or an archive with another number of
+    records than the manifest says, is an error.
+    """
     schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
     def number(urn: str | None) -> int | None:
@@ -170,19 +174,24 @@ def read(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, path = _store(uri)
                 with store.open_input_stream(path) as f:
                     archive = f.read()
                 rows: list[tuple] = []
-                size = 0
+                size = n = 0
                 for raw in unpack(archive):
                     h, body = parse(raw)
+                    n += 1
+                    if h["WARC-Type"] == "response" and (len(body) != int(h["X-Payload-Length"]) or sha1_base32(body) != h["WARC-Payload-Digest"][5:]):
+                        raise ValueError(f"{uri}: {h['WARC-Record-ID']} does not have the length or digest of its header")
                     rows.append((number(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), body, int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:], h["WARC-Type"], number(h.get("WARC-Refers-To"))))
                     size += len(body)
                     if size > 4 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
+                if n != expected:
+                    raise ValueError(f"{uri}: {n} records, {expected} in the manifest")
                 if rows:
                     yield _batch(rows)
 
@@ -191,7 +200,7 @@ def read(manifest: DataFrame) -> DataFrame:
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows))})
 
-    return manifest.select("archive").mapInArrow(run, schema)
+    return manifest.select("archive", "n_records").mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -88,3 +88,16 @@ def test_warc_edges(spark):
     bodies = {r.page_id: bytes(r.payload) for r in warc.archive_and_read(df, min_bytes=2).collect() if r.page_id in (1, 3, 8)}
     assert bodies == {1: b"x", 3: b"x", 8: b""}
     assert warc.archive_and_read(df.limit(0)).count() == 0
+
+
+def test_wrong_payloads_and_counts_are_errors(spark, tmp_path):
+    whole = warc.record(1, "http://a", b"body of a page", None)
+    for name, records, n in (("good", [whole], 1), ("payload", [whole.replace(b"body of", b"corp of")], 1), ("short", [whole], 2)):
+        path = tmp_path / f"{name}.warc"
+        path.write_bytes(warc.pack(records))
+        read = warc.read(spark.createDataFrame([(str(path), n, 1)], "archive string, n_records long, n_bytes long"))
+        if name == "good":
+            assert [(r.page_id, r.payload_bytes) for r in read.collect()] == [(1, 14)]
+        else:
+            with pytest.raises(Exception, match="digest of its header" if name == "payload" else "in the manifest"):
+                read.collect()
