@@ -38,6 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SAMPLE_BYTES, DICT_BYTES = 2 << 20, 64 << 10
 #: Bytes of records before compression at which an archive is closed.
 ARCHIVE_BYTES = 64 << 20
+#: Bytes that the reader looks at together: what it takes up beyond a record's end is copied, so this stays small.
+STEP = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -118,10 +120,14 @@ def unpack(archive: bytes) -> Iterator[bytes]:
     while at < len(archive):
         if bytes(view[at : at + 4]) != FRAME_MAGIC:
             raise ValueError(f"no frame at {at}")
-        one = reader.decompressobj()
-        out = one.decompress(view[at:])
-        yield out
-        at = len(archive) - len(one.unused_data)
+        one, out = reader.decompressobj(), []
+        while not one.eof:
+            part = view[at : at + STEP]
+            if not len(part):
+                raise ValueError("the archive ends inside a record")
+            out.append(one.decompress(part))
+            at += len(part) - len(one.unused_data)
+        yield b"".join(out)
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import struct
 
 import public_tokenizers
@@ -101,3 +102,19 @@ def test_wrong_payloads_and_counts_are_errors(spark, tmp_path):
         else:
             with pytest.raises(Exception, match="digest of its header" if name == "payload" else "in the manifest"):
                 read.collect()
+
+
+def test_reading_takes_time_in_proportion():
+    """Steps of the reader never copy the rest of an archive: twice the records take about twice as long."""
+    took = []
+    for n in (8000, 32_000):
+        archive = warc.pack([warc.record(i, f"https://e.org/{i}", f"page {i} of text ".encode() * 9, None) for i in range(n)])
+        best = 1e9
+        for _ in range(3):
+            began = time.process_time()
+            assert sum(1 for _ in warc.unpack(archive)) == n
+            best = min(best, time.process_time() - began)
+        took.append(best)
+    assert took[1] < 8 * took[0]
+    with pytest.raises(ValueError):
+        list(warc.unpack(archive[:-5]))
