@@ -1,23 +1,24 @@
 """Benchmark decontamination over a positional inverted index that Spark builds, stores and joins.
 
-Documents are indexed in blocks of a bounded number of words: for each block and term a row with the term's
-positions. Test items become windows of terms; each window is joined to the blocks that hold its rarest term, the
-position lists of its terms, shifted by their offsets, are intersected from the rarest on, and what is left are the
-places where the phrase (or with ``slop`` its terms near their places) stands. Windows with a term that the corpus
-lacks end before any list is read.
+The index has a row for each document: the hashes of its terms and the positions of each. Test items become windows of
+terms; the number of documents of each term is counted, and each window is joined to the documents that hold its rarest
+term (the postings of terms that are rarest in some window, one row for each document). In a document the position
+lists of a window's terms, shifted by their offsets, are intersected from the rarest on, and what is left are the places
+where the phrase (or with ``slop`` its terms near their places) stands. Windows with a term that the corpus lacks end
+before any list is read. All windows of a document meet it in one task, which unites their hits in place.
 
 The index stores the terms that the test items may ask for: a bit vector of fixed length (2**20 bits, however many
 items there are) tells which, so the filter is a superset and costs no result.
 
 Defined results: a null text has no words and no hits; an item without words has no window; an item with a null id
-marks words but is not listed; different texts of one id, or without one, are each looked for; items count once by id; repeated or null doc_ids are separate documents,
-a row each; an empty corpus or benchmark gives no hits. Whole texts are indexed. Terms are compared by 64-bit hashes.
+marks words but is not listed; different texts of one id, or without one, are each looked for; items count once by id;
+repeated or null doc_ids are separate documents, a row each; an empty corpus or benchmark gives no hits. Whole texts
+are indexed. Terms are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,10 @@ from pyspark.sql import functions as F
 from taktwerk.llm import common
 
 WINDOW = 10
-#: Words after which a block is closed (a longer document is one block).
-BLOCK_WORDS = 1 << 20
 VOCABULARY_BITS = 20
-#: Windows that meet a block in one task at most, on average.
-WINDOWS_A_TASK = 50_000
 SEP = common.separators("alnum")
 
-INDEX = "block bigint, term bigint, n bigint, positions binary, doc_ids array<bigint>, starts array<bigint>"
+INDEX = "doc bigint, doc_id bigint, n_words bigint, terms binary, counts binary, positions binary"
 
 
 def term_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -58,49 +55,61 @@ def vocabulary(items: DataFrame) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows by block and term, and for each block one without a term that has its documents and where they start."""
+    """A row for each document: a number of its own, its words, and the sorted terms with the positions of each."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     mask = np.uint64((1 << VOCABULARY_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
-        parts: list[np.ndarray] = []
-        ids: list[int | None] = []
-        starts: list[int] = []
-        size = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            block = uuid.uuid4().int >> 65
-            h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            at = np.flatnonzero(wanted[(h & mask).astype(np.int64)])
-            order = np.argsort(h[at], kind="stable")
-            at, terms = at[order].astype("<u4"), h[at][order]
-            edge = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-            bounds = np.append(edge, len(terms))
-            n = len(edge)
-            lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
-            if n:
-                nulls = pa.nulls(n, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(terms[edge].view(np.int64)), pa.array(np.diff(bounds)), lists, nulls, nulls], names=["block", "term", "n", "positions", "doc_ids", "starts"])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((block, None, size, None, list(ids), [*starts, size]), kinds)], names=["block", "term", "n", "positions", "doc_ids", "starts"])
-            parts.clear(), ids.clear(), starts.clear()
-            size = 0
+        for batch in batches:
+            for lo, h, first in term_hashes(batch.column(2)):
+                rows = len(first) - 1
+                at = np.flatnonzero(wanted[(h & mask).astype(np.int64)])
+                which = np.searchsorted(first, at, "right") - 1
+                order = np.lexsort((at, h[at], which))
+                at, which, terms = at[order], which[order], h[at][order]
+                edge = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (which[1:] != which[:-1]))) if len(at) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(edge, len(at))).astype("<u4")
+                positions = (at - first[which]).astype("<u4")
+                by_term, by_word = (np.searchsorted(x, np.arange(rows + 1)) for x in (which[edge], which))
+
+                def lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+                    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, rows) for c in (0, 1)), pa.array(np.diff(first).astype(np.int64)), lists(terms[edge], by_term), lists(counts, by_term), lists(positions, by_word)], names=["doc", "doc_id", "n_words", "terms", "counts", "positions"])
+
+    return docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, INDEX)
 
+
+def document_counts(index: DataFrame) -> DataFrame:
+    """(term, df): in how many documents each term of the index stands; summed in the task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lo, h, first in term_hashes(batch.column(1)):
-                parts.append(h)
-                ids += keys[lo : lo + len(first) - 1]
-                starts += (first[:-1] + size).tolist()
-                size += len(h)
-                if size >= BLOCK_WORDS:
-                    yield from close()
-        if ids:
-            yield from close()
+            held = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            term, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
+
+    return index.select("terms").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(rarest, doc) for the terms in ``terms(rarest)``, and few others: a bit vector of fixed length tells which."""
+    mask = np.int64((1 << VOCABULARY_BITS) - 1)
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total[batch.column(0).to_numpy() & mask] = 1
+
+    shared = index.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(terms, add, 1 << VOCABULARY_BITS) > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            held = [t[wanted[t & mask]] for t in held]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held) if held else np.zeros(0, np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(t) for t in held])))], names=["rarest", "doc"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, INDEX)
+    return index.select("doc", "terms").mapInArrow(run, "rarest bigint, doc bigint")
 
 
 def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -122,65 +131,66 @@ def item_windows(items: DataFrame, k: int = WINDOW) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, "item_id bigint, key bigint, window int, terms array<bigint>")
 
 
+def ranked_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(item_id, length, rarest, terms, offs): the windows whose terms the corpus has, their terms from the rarest on."""
+    terms = windows.select("item_id", "key", "window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
+    ranked = terms.join(document_counts(index), "term", "left").groupBy("item_id", "key", "window", "length").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("t"))
+    ranked = ranked.where(F.col("t")[0]["df"] > 0)
+    return ranked.select("item_id", "length", F.col("t")[0]["term"].alias("rarest"), F.col("t.term").alias("terms"), F.col("t.off").alias("offs"))
+
+
+def starts_of(at: dict[int, np.ndarray], terms: list[int], offs: list[int], n_words: int, slop: int) -> np.ndarray:
+    """Where a window stands in a document: its terms' position lists, shifted, intersected from the rarest on."""
+    begin = at.get(terms[0], np.zeros(0, np.int64)) - offs[0]
+    for term, off in zip(terms[1:], offs[1:]):
+        here = at.get(term)
+        if here is None or not len(begin):
+            return begin[:0]
+        i = np.searchsorted(here, begin + off - slop)
+        begin = begin[(i < len(here)) & (here[np.minimum(i, len(here) - 1)] <= begin + off + slop)]
+    return begin[(begin >= 0) & (begin + len(terms) <= n_words)]
+
+
+FOUND = "doc bigint, n_hit bigint, items array<string>, hit_spans array<struct<start:bigint,length:int>>"
+
+
 def occurrences(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """(block, doc, item_id, start, length): where the windows stand; doc is the document's number in its block.
+    """(doc, n_hit, items, hit_spans) of documents where windows stand: words inside, ids as sorted strings, places.
 
     With ``slop`` a term may stand so many words off its place.
     """
-    postings = index.where("term is not null")
-    frequency = postings.groupBy("term").agg(F.sum("n").alias("df"))
-    terms = windows.select("item_id", "key", "window", F.size("terms").alias("length"), F.posexplode("terms").alias("off", "term"))
-    ranked = terms.join(frequency, "term", "left").groupBy("item_id", "key", "window", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term"))).alias("terms"))
-    ranked = common.save(ranked.where(F.col("terms")[0]["df"] > 0).withColumn("rarest", F.col("terms")[0]["term"]), "windows")
-    chunks = 1 + ranked.count() // WINDOWS_A_TASK
-    probes = ranked.join(postings.select(F.col("term").alias("rarest"), "block"), "rarest").withColumn("chunk", F.pmod(F.xxhash64("item_id", "key", "window"), F.lit(chunks)))
-    probes = common.save(probes.select("block", "chunk", "item_id", "length", F.col("terms.term").alias("terms"), F.col("terms.off").alias("offs")), "probes")
-    needed = probes.select("block", "chunk", F.explode("terms").alias("term")).distinct()
-    lists = postings.join(needed, ["block", "term"]).select("block", "chunk", "term", "positions")
-    bounds = index.where("term is null").select("block", "starts").join(probes.select("block", "chunk").distinct(), "block")
-    lists = lists.unionByName(bounds.select("block", "chunk", F.lit(None).cast("bigint").alias("term"), F.to_binary(F.lit("")).alias("positions"), "starts"), allowMissingColumns=True)
-
-    lists = lists.toDF("block_", "chunk_", "term", "positions", "starts")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        at, starts = {}, np.zeros(1, np.int64)
-        for term, data, s in zip(left["term"].to_pylist(), left["positions"].to_pylist(), left["starts"].to_pylist()):
-            if term is None:
-                starts = np.array(s)
-            else:
-                at[term] = np.frombuffer(data, "<u4").astype(np.int64)
-        found: list[tuple] = []
-        block = right["block"][0].as_py() if right.num_rows else None
-        for item, length, terms, offs in zip(right["item_id"].to_pylist(), right["length"].to_pylist(), right["terms"].to_pylist(), right["offs"].to_pylist()):
-            begin = at[terms[0]] - offs[0] if terms[0] in at else np.zeros(0, np.int64)
-            for term, off in zip(terms[1:], offs[1:]):
-                if not len(begin):
-                    break
-                here = at.get(term)
-                if here is None:
-                    begin = begin[:0]
-                    break
-                i = np.searchsorted(here, begin + off - slop)
-                begin = begin[(i < len(here)) & (here[np.minimum(i, len(here) - 1)] <= begin + off + slop)]
-            if len(begin):
-                doc = np.searchsorted(starts, begin, "right") - 1
-                fits = (doc >= 0) & (begin + length <= starts[np.minimum(doc + 1, len(starts) - 1)])
-                found += [(block, int(d), item, int(b - starts[d]), length) for d, b in zip(doc[fits], begin[fits])]
-        return pa.Table.from_pydict({n: pa.array([r[i] for r in found], t) for i, (n, t) in enumerate((("block", pa.int64()), ("doc", pa.int32()), ("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32())))})
-
-    return lists.groupBy("block_", "chunk_").cogroup(probes.groupBy("block", "chunk")).applyInArrow(meet, "block bigint, doc int, item_id bigint, start bigint, length int")
+    ranked = common.save(ranked_windows(index, windows), "windows")
+    probes = ranked.join(postings(index, ranked.select("rarest")), "rarest").groupBy("doc").agg(F.collect_list(F.struct("item_id", "terms", "offs")).alias("windows"))
+    rows = index.select("doc", "n_words", "terms", "counts", "positions").join(probes, "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, n_words, terms, counts, positions, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                lists = np.split(np.frombuffer(positions, "<u4").astype(np.int64), np.cumsum(np.frombuffer(counts, "<u4"))[:-1])
+                at = dict(zip(np.frombuffer(terms, np.int64).tolist(), lists))
+                hit, items, spans = np.zeros(n_words + 1, np.int64), set(), set()
+                for w in asked:
+                    begin, length = starts_of(at, w["terms"], w["offs"], n_words, slop), len(w["terms"])
+                    if len(begin):
+                        np.add.at(hit, begin, 1)
+                        np.add.at(hit, begin + length, -1)
+                        spans.update((b, length) for b in begin.tolist())
+                        if w["item_id"] is not None:
+                            items.add(str(w["item_id"]))
+                if spans:
+                    out.append((doc, int((np.cumsum(hit) > 0).sum()), sorted(items), [{"start": b, "length": n} for b, n in sorted(spans)]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc", "n_hit", "items", "hit_spans"])
+
+    return rows.mapInArrow(run, FOUND)
 
 
 def contamination(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (starts of hit windows, in words)."""
+    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (starts and lengths of hit windows, in words)."""
     index = common.save(build_index(docs, vocabulary(items)), "index")
     found = common.save(occurrences(index, item_windows(items, k)), "occurrences")
-    each = index.where("term is null").select("block", F.posexplode("doc_ids").alias("doc", "doc_id"), "starts")
-    each = each.select("block", "doc", "doc_id", (F.get("starts", F.col("doc") + 1) - F.get("starts", F.col("doc"))).alias("n_words"))
-    hit = found.select("block", "doc", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("block", "doc").agg(F.count("*").alias("n_hit"))
-    ids = F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string")))
-    listed = found.groupBy("block", "doc").agg(ids.alias("items"), F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hit_spans"))
-    out = each.join(hit, ["block", "doc"], "left").join(listed, ["block", "doc"], "left")
+    out = index.select("doc", "doc_id", "n_words").join(found, "doc", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "hit_spans")

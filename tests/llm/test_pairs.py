@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from taktwerk.llm import decontaminate, jaccard_join, passages, queries
+from taktwerk.llm import common, decontaminate, jaccard_join, passages, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -376,6 +376,15 @@ def test_items_that_share_an_id_or_have_none(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [4]
 
 
+def test_probes_are_few(spark, sf):
+    """A window meets the documents of its rarest term alone: far fewer pairs than windows times documents."""
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    index = common.save(decontaminate.build_index(docs, decontaminate.vocabulary(items)), "index")
+    ranked = decontaminate.ranked_windows(index, decontaminate.item_windows(items))
+    probes = ranked.join(decontaminate.postings(index, ranked.select("rarest")), "rarest").count()
+    assert 0 < probes * 50 < ranked.count() * docs.count()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x a b y c d z"), (2, "a b c d"), (3, "d c b a")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
