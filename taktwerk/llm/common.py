@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,19 @@ BATCH_ROWS = 512
 U64 = np.uint64
 
 
-def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small batches for the plans that run inside; the session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,8 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; the warehouse where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; on a local master that names none, the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
@@ -45,9 +55,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.parquet(path)
     out.scratch = path
     return out
@@ -84,7 +94,6 @@ def summed_vector(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], Non
     summed where they meet, and the driver gets ``length`` numbers whatever the input's size.
     """
     width = -(-length // ranges)
-    bound_batches(df.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(width * ranges, np.int64), False
@@ -109,7 +118,9 @@ def summed_vector(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], Non
 
     parts = df.mapInArrow(gather, "r int, at binary, v binary").repartition(ranges, "r").mapInArrow(merge, "r int, v binary")
     out = np.zeros(width * ranges, np.int64)
-    for row in parts.collect():  # `ranges` rows at most
+    with small_batches(df.sparkSession):
+        rows = parts.collect()  # `ranges` rows at most
+    for row in rows:
         out[row["r"] * width : (row["r"] + 1) * width] = np.frombuffer(row["v"], np.int64)
     return out[:length]
 

@@ -3,7 +3,8 @@
 Texts are lower-cased, what is no letter becomes one space, and n-grams of 1 to 3 characters are hashed to 2**15
 features with weight log(1 + count) * idf, scaled to length 1. Document frequencies are counted over all training
 rows. The weights are learned by follow-the-regularised-leader with L1 and L2 penalties on a bounded sample
-(``MAX_TRAIN`` rows, spread evenly over the languages); on a part of the sample that the weights never see, a
+(``MAX_TRAIN`` rows, spread evenly over the ``MAX_LANGUAGES`` most frequent languages, by a hash of key and text; repeated
+rows count once in it); on a part of the sample that the weights never see, a
 temperature is fitted that calibrates the scores.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; the language, the source and the key
@@ -26,6 +27,8 @@ from taktwerk.llm import bpe, common
 
 FEATURES = 1 << 15
 MAX_TRAIN = 3000
+#: Languages that are learned, the most frequent ones: the weights have a column for each.
+MAX_LANGUAGES = 1000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 1e-3
 UNKNOWN = "und"
 
@@ -115,7 +118,9 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", max_train: int = MAX_TRAIN) -> Model | None:
     """Learns from the rows of ``train``. Counts cover all rows; the weights come from ``max_train`` rows at most."""
     train = train.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, text, label)
-    sizes = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}  # a row for each language
+    counts = train.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES)
+    sizes = {r[label]: r["count"] for r in counts.collect()}
+    train = train.where(F.col(label).isin(*sizes)) if len(sizes) == MAX_LANGUAGES else train
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -136,10 +141,11 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", label: str =
             which = pa.array([i for i, _, _ in got], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(2).take(which), pa.array([a.astype(np.int32) for _, a, _ in got], pa.list_(pa.int32())), pa.array([c[a].astype(np.int32) for _, a, c in got], pa.list_(pa.int32()))], names=["o", "label", "at", "n"])
 
-    order = F.xxhash64(key, F.lit(11))
+    order = F.xxhash64(key, text, F.lit(11))
     below = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, share / sizes[lang])))])
-    picked = train.where(F.pmod(order, F.lit(1 << 30)) < below[F.col(label)] * (1 << 30)).select(order.alias("o"), text, label)
-    rows = picked.mapInArrow(sample, "o bigint, label string, at array<int>, n array<int>").toArrow()
+    picked = train.where(F.pmod(order, F.lit(1 << 30)) < below[F.col(label)] * (1 << 30)).select(order.alias("o"), text, label).dropDuplicates(["o", label])
+    with common.small_batches(train.sparkSession):
+        rows = picked.mapInArrow(sample, "o bigint, label string, at array<int>, n array<int>").toArrow()
     model = Model(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)))
     made = []
     for o, lang, at, n in zip(*(rows.column(c) for c in ("o", "label", "at", "n"))):

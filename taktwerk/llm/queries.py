@@ -1,4 +1,8 @@
-"""The registered queries of the corpus operators: thin, with production parameters, over whole tables."""
+"""The registered queries of the corpus operators: thin, with production parameters, over whole tables.
+
+Where the last step runs Python on long texts, the query writes its few columns to the shared folder and returns that
+table: the step runs in small batches, and the session keeps its own setting.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from taktwerk.llm import bpe, common, decontaminate, jaccard_join, language, lic
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return common.save(bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")), "op3")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full payload digests and lengths as the archives' records carry them; a response's are checked against its body."""
     read = warc.archive_and_read(common.table(spark, sf_dir, "pages"))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return common.save(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "op10")
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +42,11 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(common.table(spark, sf_dir, "documents"))
+    return common.save(language.identify(common.table(spark, sf_dir, "documents")), "op1")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.graded(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return common.save(toxicity.graded(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")), "op5")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

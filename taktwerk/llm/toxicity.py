@@ -126,9 +126,12 @@ def fit_ordinal(text: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndar
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     labelled = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     fraction = min(1.0, max_train / max(1, labelled.count()))
-    # about max_train ids, whatever the labels' number: their size is bound, so they may be broadcast
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < fraction * (1 << 30))
-    rows = common.save(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")
+    # about max_train ids, whatever the labels' number; Spark broadcasts them where they are as small as that
+    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < fraction * (1 << 30)).distinct()
+    rows = common.save(docs.where("text is not null").select("doc_id", "text").join(common.save(picked, "picked"), "doc_id"), "labelled")
+    if (n := rows.count()) > 2 * max_train:  # ids that stand on many rows: the sample keeps its bound
+        thin = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 30)) < max_train / n * (1 << 30)
+        rows = common.save(rows.where(thin).dropDuplicates(["doc_id", "text", "toxic"]), "labelled")
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
         toxic = np.array(batch.column(1).to_pylist()) > 0
@@ -161,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     share = lambda x, n: (F.col(x) + 0.5) / (n - F.col(x) + 0.5)
     error = F.sqrt(sum((1 / (F.col(x) + 0.5) + 1 / (n - F.col(x) + 0.5) for x, n in (("t", n1), ("c", n0))), F.lit(0.0)))
     each = each.where(F.col("t") + F.col("c") >= MIN_DOCS).withColumn("z", (F.log(share("t", n1)) - F.log(share("c", n0))) / error).where(F.abs("z") > LEAST_Z)
-    best = sorted(each.orderBy(F.desc(F.abs("z")), "feature").limit(KEEP).collect(), key=lambda r: r["feature"] % (1 << 64))
+    with common.small_batches(docs.sparkSession):
+        best = sorted(each.orderBy(F.desc(F.abs("z")), "feature").limit(KEEP).collect(), key=lambda r: r["feature"] % (1 << 64))
     kept = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
     chosen = np.zeros(BUCKETS, bool)
     chosen[bucket(kept)] = True
@@ -181,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
                 yield pa.RecordBatch.from_pydict({"o": batch.column(0).slice(lo, len(n)), "toxic": pa.array(y[lo : lo + len(n)], pa.int32()), "share": pa.array(hit / np.maximum(n, 1), pa.float64()), "feature": pa.ListArray.from_arrays(edges, feature.astype(np.int16)), "x": pa.ListArray.from_arrays(edges, x.astype(np.float32))})
 
     # the sample is bounded; it stays in arrays of few bytes on the driver, in an order that does not depend on tasks
-    got = rows.select(F.xxhash64("doc_id", "text").alias("o"), "text", "toxic").mapInArrow(sample, "o bigint, toxic int, share double, feature array<smallint>, x array<float>").toArrow().sort_by("o")
+    with common.small_batches(docs.sparkSession):
+        got = rows.select(F.xxhash64("doc_id", "text").alias("o"), "text", "toxic").mapInArrow(sample, "o bigint, toxic int, share double, feature array<smallint>, x array<float>").toArrow().sort_by("o")
     y, dense = got["toxic"].to_numpy().astype(np.int64), got["share"].to_numpy()
     middle = float(np.median(dense[y > 0])) if (y > 0).any() else 0.0
     grade = np.where(y > 0, 1 + (dense > middle), 0)

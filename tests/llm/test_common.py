@@ -57,3 +57,12 @@ def test_components(spark):
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == want
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_the_session_keeps_its_settings(spark, sf):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = common.save(common.table(spark, sf, "documents"), "copy")
+    common.summed_vector(docs.select("doc_id"), lambda total, batch: None, 4)
+    assert spark.conf.get(name) == before
+    common.discard(docs)
