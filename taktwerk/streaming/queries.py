@@ -37,10 +37,10 @@ def tracked(events: DataFrame, key: str, ts: str, finished: str, idle_ms: int =
             yield pd.DataFrame({"id": [k[0]], "phase": ["failed"], "n": [n], "last_ms": [last]})
             return
         n, last = held.get if held.exists else (0, 0)
-        phase = "tracked" if n else "created"
-        for batch in batches:
-            n, last = n + len(batch), max(last, int(batch["ms"].max()))
-            phase = "finished" if batch["done"].any() else "tracked" if n > 1 else phase
+        done = False
+        for batch in batches:  # a key's rows may come in several chunks
+            n, last, done = n + len(batch), max(last, int(batch["ms"].max())), done or bool(batch["done"].any())
+        phase = "finished" if done else "tracked" if n > 1 else "created"
         if phase == "finished":
             if held.exists:
                 held.remove()
@@ -59,9 +59,10 @@ def limited(events: DataFrame, key: str, ts: str, a_minute: float = 10.0) -> Dat
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         level, last, passed, blocked = held.get if held.exists else (None, 0, 0, 0)
         for ms in sorted(m for batch in batches for m in batch["ms"]):
+            ms = max(int(ms), last)  # a late call counts as one of now: it drains nothing
             drained = None if level is None else level - (ms - last) / 60_000 * a_minute
             stop = drained is not None and drained + 1 >= a_minute
-            level, last = (1.0 if drained is None else max(0.0, drained) + (0.0 if stop else 1.0)), int(ms)
+            level, last = (1.0 if drained is None else max(0.0, drained) + (0.0 if stop else 1.0)), ms
             passed, blocked = passed + (not stop), blocked + stop
         held.update((level, last, passed, blocked))
         yield pd.DataFrame({"id": [k[0]], "passed": [passed], "blocked": [blocked]})

@@ -2,12 +2,14 @@
 
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from taktwerk.operators.operations import limited
-from taktwerk.plans.registry import QUERIES
+from taktwerk.plans.registry import ORACLE_SQL, QUERIES
 from taktwerk.streaming import queries
-from taktwerk.streaming.run import table_stream
+from taktwerk.streaming.run import drained, table_stream
 
 
 def test_limiter_counts_as_the_fold(spark, sf):
@@ -26,3 +28,22 @@ def test_snapshots_run_on_a_clock(spark, sf, tmp_path):
         time.sleep(0.1)
     query.stop()
     assert seen[0] == 5
+
+
+@pytest.mark.parametrize("rows", [7, 512, 10_000])
+def test_states_do_not_depend_on_chunks(spark, sf, same_rows, rows):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        assert same_rows(QUERIES["stream_trip_state"](spark, sf), ORACLE_SQL["stream_trip_state"])
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_streams_of_folders_and_of_nothing(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(str(tmp_path / "none.parquet"))
+    count = lambda name: drained(table_stream(spark, str(tmp_path), name)).count()
+    assert count("events") == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert count("none") == 0
