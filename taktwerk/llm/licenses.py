@@ -2,8 +2,12 @@
 
 A text is brought to a canonical form (lower case, copyright lines dropped, punctuation and white space made one
 space, equivalent spellings made one) and its SHA-256 is joined to the digests of known licences in the same form.
-Scanned are entire documents and, for notices, entire lines. The known licences are a table; the one built in has a
-fixed number of texts (the files in ``known_licenses``, short ones and notices below), so its digests are broadcast; a longer table is joined by shuffle.
+Scanned are entire documents, however their lines are broken, and, for notices, entire lines: a text is read and
+normalised once, and its lines are cut from that. A copyright line begins with a statement (the word or sign with a
+year, a sign or a name in brackets, or "all rights reserved" alone), so that a sentence of a licence whose line happens
+to begin with "copyright notice" stays. The known licences are a table; the one built in has a fixed number of texts
+(the files in ``known_licenses``, short ones and notices below), so its digests are broadcast; a longer table is joined
+by shuffle.
 
 Defined results: a null text matches nothing; an empty text, or one that is empty in canonical form, matches nothing
 even if a known text is; repeated rows match each; a null doc_id is kept; known texts with one canonical form give a
@@ -20,9 +24,9 @@ from pyspark.sql import functions as F
 #: A table of known licences of up to so many rows is broadcast.
 BROADCAST_ROWS = 1000
 
-# fixed values: phrases that mark a copyright line, and spellings taken as one
-COPYRIGHT = ("copyright", "(c)", "©", "all rights reserved")
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorisation", "authorization"), ("favour", "favor"), ("fulfil ", "fulfill "), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("sub license", "sublicense"), ("whilst", "while"), ("wilful", "willful"), (" https ", " http "))
+# fixed values: how a copyright line begins in lower case, and spellings taken as one
+COPYRIGHT = r"^[^\p{L}\p{N}\n]*(copyright[^\n]*[0-9]{4}|copyright[ \t]*(\(c\)|©|&copy;|by |\[|<|\{)|\(c\)[ \t]*(copyright|[0-9])|©|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*"
+SPELLINGS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorisation", "authorization"), ("favour", "favor"), ("fulfil ", "fulfill "), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("sub license", "sublicense"), ("whilst", "while"), ("wilful", "willful"), (" https ", " http "))
 
 # fixed values: short texts and notices of licences
 SHORT = (
@@ -64,16 +68,26 @@ def _known() -> tuple[tuple[str, str], ...]:
 KNOWN = _known()
 
 
-def canonical(text: Column) -> Column:
-    """Lower case without copyright lines; letters, digits and single spaces; one spelling of equivalent words."""
-    lines = F.split(F.lower(text), "\n")
-    told = lambda line: ~(line.contains(COPYRIGHT[0]) | line.contains(COPYRIGHT[1]) | line.contains(COPYRIGHT[2]) | line.contains(COPYRIGHT[3]))
-    holder = lambda line: line.contains("notice") | line.contains("holder")  # noqa: E731  conditions name the notice; they are no copyright lines
-    out = F.array_join(F.filter(lines, lambda x: told(x) | holder(x)), " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def _spelled(text: Column) -> Column:
     for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(one))
-    return F.trim(F.regexp_replace(out, " +", " "))
+        text = F.replace(text, F.lit(other), F.lit(one))
+    return text
+
+
+def normalised(text: Column) -> Column:
+    """Lower case without copyright lines; letters, digits and single spaces between the line breaks, which stay."""
+    out = F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT, "")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+    return _spelled(F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" ")))
+
+
+def one_line(normal: Column) -> Column:
+    """The canonical form of what ``normalised`` gives, its lines joined; spellings may meet across a line break."""
+    return F.trim(F.regexp_replace(_spelled(F.regexp_replace(normal, "[ \n]+", " ")), " +", " "))
+
+
+def canonical(text: Column) -> Column:
+    return one_line(normalised(text))
 
 
 def known_table(spark: SparkSession) -> DataFrame:
@@ -87,7 +101,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digests = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         digests = F.broadcast(digests)
-    entire = docs.select("doc_id", F.lit(0).alias("line"), canonical(F.col("text")).alias("form"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).select("doc_id", (F.col("line") + 1).alias("line"), canonical(F.col("text")).alias("form"))
-    forms = entire.unionByName(lines).where("form <> ''").select("doc_id", "line", F.sha2("form", 256).alias("digest"))
+    normal = docs.select("doc_id", normalised(F.col("text")).alias("normal"))
+    line = F.transform(F.split("normal", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.trim(F.regexp_replace(x, " +", " ")).alias("form")))
+    forms = normal.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("line"), one_line(F.col("normal")).alias("form"))), line)).alias("u"))
+    forms = forms.where("u.form <> ''").select("doc_id", "u.line", F.sha2("u.form", 256).alias("digest"))
     return forms.join(digests, "digest").select("doc_id", "line", "license_id")

@@ -52,23 +52,23 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM
 """
 
 
-def _canonical(x: str) -> str:
-    lines = f"string_split(lower({x}), chr(10))"
-    told = " OR ".join(f"contains(l, '{c}')" for c in licenses.COPYRIGHT)
-    out = f"array_to_string(list_filter({lines}, lambda l: NOT ({told}) OR contains(l, 'notice') OR contains(l, 'holder')), ' ')"
-    out = f"' ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+def _spelled(x: str) -> str:
     for other, one in licenses.SPELLINGS:
-        out = f"replace({out}, '{other}', '{one}')"
-    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+        x = f"replace({x}, '{other}', '{one}')"
+    return x
 
 
 def op7() -> str:
+    normal = f"regexp_replace(regexp_replace(lower(t), '(?m){licenses.COPYRIGHT}', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    normal = _spelled(f"(' ' || replace({normal}, chr(10), ' ' || chr(10) || ' ') || ' ')")
+    entire = f"trim(regexp_replace({_spelled("regexp_replace(n, '[ \\n]+', ' ', 'g')")}, ' +', ' ', 'g'))"
     known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
     return f"""
-WITH k AS (SELECT DISTINCT license_id, {_canonical("t")} AS form FROM (VALUES {known}) v(license_id, t)),
-u AS (SELECT doc_id, 0 AS line, text AS t FROM documents WHERE text IS NOT NULL
-      UNION ALL SELECT doc_id, i AS line, string_split(text, chr(10))[i] FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-f AS (SELECT doc_id, line, {_canonical("t")} AS form FROM u)
+WITH k AS (SELECT DISTINCT license_id, {entire} AS form FROM (SELECT license_id, {normal} AS n FROM (VALUES {known}) v(license_id, t))),
+d AS (SELECT doc_id, {normal} AS n FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT doc_id, string_split(n, chr(10)) AS l FROM d),
+f AS (SELECT doc_id, 0 AS line, {entire} AS form FROM d
+      UNION ALL SELECT doc_id, i AS line, trim(regexp_replace(l[i], ' +', ' ', 'g')) AS form FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l))
 SELECT f.doc_id, f.line::INTEGER AS line, k.license_id FROM f JOIN k USING (form) WHERE form <> ''
 """
 

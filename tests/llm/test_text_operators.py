@@ -123,6 +123,23 @@ def test_full_licence_files(spark):
     assert sorted((r.doc_id, r.license_id) for r in got) == [(i, n) for i, (n, _) in enumerate(docs)]
 
 
+def test_licences_at_every_width(spark):
+    """The usual file, with and without its title, whatever the width of its lines."""
+    files = {}
+    for i, t in licenses.KNOWN[13:]:
+        files.setdefault(i, t)
+    texts = {"MIT": dict(licenses.KNOWN[:3])["MIT"], "BSD-3-Clause": files["BSD-3-Clause"], "PostgreSQL": files["PostgreSQL"]}
+    docs = []
+    for name, title in (("MIT", "MIT License\n\n"), ("MIT", ""), ("BSD-3-Clause", ""), ("PostgreSQL", "")):
+        for width in range(20, 121, 3):
+            body = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False) for p in texts[name].split("\n\n"))
+            docs.append((name, f"{title}Copyright (c) 2021 Some Body\nAll rights reserved.\n\n{body}\n"))
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")).where("line = 0").collect()
+    assert sorted((r.doc_id, r.license_id) for r in got) == [(i, n) for i, (n, _) in enumerate(docs)]
+    whole = {i for i, t in licenses.KNOWN if len(t) > 150}
+    assert len(whole) >= 30
+
+
 @pytest.mark.parametrize("n", [10, 11])
 def test_line_limit(spark, n):
     shared = "this line stands in many documents of one host and says nothing new at all really"
