@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
@@ -84,6 +84,11 @@ def neutral(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame
     return docs.toDF(*held), lambda df: df.select(*held).toDF(*names)
 
 
+def told_apart(name: Column) -> Column:
+    """A name that is never null: a null one differs from every other, the empty one included."""
+    return F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), name.cast("string")))
+
+
 # ---------------------------------------------------------------- vectors of fixed length
 
 

@@ -1,10 +1,10 @@
 """Quality rules from cross-document line frequency, as DataFrame operations only.
 
 Lines are normalised (white space collapsed, lower case) and hashed; for each host the distinct documents that hold
-a line are counted, documents with the same text being one; lines above the limit are removed, and a document that
+a line are counted, documents with the same text being one (with ``count_copies`` each for itself); lines above the limit are removed, and a document that
 keeps too small a part of its words is rejected.
 
-Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows
+Defined results: a null text has no words and fails the base rules; a null host is a host of its own, apart from the empty one; repeated rows
 and copies get the same verdict; lines without a word count nowhere; an empty table gives an empty table; columns
 other than the key, the text and the host are not read. Exact for texts of any length; lines and word triples are
 compared by 64-bit hashes.
@@ -36,7 +36,7 @@ def base_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     Triples of words are hashed in place; only where a triple occurs twice are they sorted with their positions.
     """
     t = F.col("text_")
-    df = docs.select(F.col(key).alias(key), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
+    df = docs.select(F.col(key).alias(key), common.told_apart(F.col(host)).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
     df = df.select(
         key, "host", F.xxhash64(t).alias("text_key"), words_of(t).alias("w"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
@@ -61,15 +61,23 @@ def normalised(line: Column) -> Column:
 
 def line_counts(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """(host, text_key, line_key, words): a row for each distinct line of a text, with its words over all its places."""
-    df = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n")).alias("line"))
+    df = docs.where(F.col(text).isNotNull()).select(common.told_apart(F.col(host)).alias("host"), F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n")).alias("line"))
     df = df.select("host", "text_key", normalised(F.col("line")).alias("line")).where("line <> ''")
     df = df.select("host", "text_key", F.xxhash64("line").alias("line_key"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("words"))
     return df.groupBy("host", "text_key", "line_key").agg(F.sum("words").alias("words"))
 
 
+def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """(host, text_key, copies): how many documents of a host have a text; repeated rows are one document."""
+    rows = docs.where(F.col(text).isNotNull()).select(common.told_apart(F.col(host)).alias("host"), F.xxhash64(text).alias("text_key"), F.col(key).alias("key_"))
+    return rows.distinct().groupBy("host", "text_key").agg(F.count("*").alias("copies"))
+
+
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line_key) of lines that more than ``max_docs`` distinct texts of a host hold; counts are summed before the shuffle."""
-    return lines.groupBy("host", "line_key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).drop("n_docs")
+    """(host, line_key) of lines that more than ``max_docs`` distinct texts of a host hold, or documents where ``lines``
+    tells how many ``copies`` a text has; counts are summed before the shuffle."""
+    each = F.sum("copies") if "copies" in lines.columns else F.count("*")
+    return lines.groupBy("host", "line_key").agg(each.alias("n_docs")).where(F.col("n_docs") > max_docs).drop("n_docs")
 
 
 def removed_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -91,14 +99,17 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, text: str = "text", host:
     lines = common.save(line_counts(docs, text, host), "lines")
     gone = removed_lines(lines, max_docs).groupBy("host", "text_key").agg(F.collect_set("line_key").alias("gone_"))
     gone = gone.select(F.col("host").alias("host_"), F.col("text_key").alias("text_key_"), "gone_")
-    left = docs.join(gone, (F.coalesce(docs[host], F.lit("")) == gone["host_"]) & (F.xxhash64(docs[text]) == gone["text_key_"]), "left")
+    left = docs.join(gone, (common.told_apart(docs[host]) == gone["host_"]) & (F.xxhash64(docs[text]) == gone["text_key_"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("gone_", F.xxhash64(normalised(x)))), "\n")
     return left.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(kept)).drop("host_", "text_key_", "gone_")
 
 
-def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, key: str = "doc_id", text: str = "text", host: str = "source", count_copies: bool = False) -> DataFrame:
     """The base counts of each document and ``kept``: it passed the base rules and is not depleted."""
-    lines = common.save(line_counts(docs, text, host), "lines")
+    lines = line_counts(docs, text, host)
+    if count_copies:
+        lines = lines.join(text_counts(docs, key, text, host), ["host", "text_key"])
+    lines = common.save(lines, "lines")
     out = depleted(lines, max_docs, min_left).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("gone", F.lit(True))
     base = base_rules(docs, key, text, host).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     joined = base.join(out, ["host", "text_key", "salt"], "left")

@@ -4,9 +4,10 @@ A logistic regression on a dozen counts of the text gives each document's eviden
 of its training rows (a bounded sample, ``MAX_TRAIN``). The evidence of all documents is summed by path and by host
 (one grouped aggregation each, summed before the shuffle). The spread between hosts and between paths gives the
 strength of the priors by the method of moments, so sites with few documents shrink to their host and hosts to the
-whole corpus. The posterior of a document adds its evidence to its path's prior log odds.
+whole corpus. The posterior of a document adds its evidence to its path's prior log odds, in which the document itself
+has no part.
 
-Defined results: a null text has the counts of an empty one; a null host or path is a group of its own; labels that are
+Defined results: a null text has the counts of an empty one; a null host or path is a group of its own, apart from the empty one; labels that are
 null, or without a document, teach nothing; without labels of both kinds the evidence is 0 and the prior one half;
 repeated rows count each and get the same result; a null doc_id is a row like any other; an empty table gives an
 empty table; other columns are not read. Whole texts are measured.
@@ -77,7 +78,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def evidence(docs: DataFrame, labels: DataFrame, host: str, path: str, max_train: int = MAX_TRAIN) -> tuple[DataFrame, float]:
     """(doc_id, host, path, evidence) of all documents, and the share of good ones among the labelled."""
-    rows = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"), "text")
+    rows = docs.select("doc_id", common.told_apart(F.col(host)).alias("host"), common.told_apart(F.col(path)).alias("path"), "text")
     rows = common.save(_measured(rows), "measures")
     labelled = rows.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
     n = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
@@ -116,11 +117,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
         return float(min(1e6, max(1.0, inner / between - 1))) if between and between > 0 else 1e6
 
     of_host, of_path = strength(hosts, "hn", "hs"), strength(paths, "n", "s")
-    hosts = hosts.withColumn("host_rate", (F.col("hs") + of_host * rate) / (F.col("hn") + of_host)).select("host", "host_rate")
-    rates = paths.join(hosts, "host").withColumn("path_rate", (F.col("s") + of_path * F.col("host_rate")) / (F.col("n") + of_path))
-    # a site with many documents is dealt by salt; its rates are copied instead
-    rates = rates.select("host", "path", "host_rate", "path_rate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = own.join(rates, ["host", "path", "salt"])
+    # a site with many documents is dealt by salt; its sums are copied instead
+    sums = paths.join(hosts, "host").select("host", "path", "n", "s", "hn", "hs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = own.withColumn("q", q).withColumn("salt", F.pmod(F.xxhash64("doc_id", "evidence"), F.lit(SALTS)).cast("int"))
+    out = own.join(sums, ["host", "path", "salt"])
+    # the others' record: a document's evidence counts once
+    out = out.withColumn("host_rate", (F.col("hs") - F.col("q") + of_host * rate) / (F.col("hn") - 1 + of_host))
+    out = out.withColumn("path_rate", (F.col("s") - F.col("q") + of_path * F.col("host_rate")) / (F.col("n") - 1 + of_path))
     quality = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("path_rate")))))))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", quality.alias("quality"), (quality >= limit).alias("kept"))

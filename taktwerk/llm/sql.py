@@ -3,7 +3,7 @@
 from taktwerk.llm import licenses
 
 OP4 = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 tri AS (SELECT t, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT DISTINCT t, w FROM w)),
 twice AS (SELECT t, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x, list(i) AS p FROM tri GROUP BY 1, 2 HAVING count(*) > 1),

@@ -159,3 +159,115 @@ def test_line_edges(spark, edges, nothing):
     assert all(r.base_failed and not r.kept and r.n_words == 0 for r in rows if r.doc_id in (2, 3, 4))
     assert {r.n_words for r in rows if r.doc_id == 5} == {60_000}
     assert line_rules.verdicts(nothing).count() == 0
+
+
+def test_null_hosts_are_not_empty_ones(spark):
+    shared = "this line stands in many documents of one host and says nothing new at all really"
+    rows = [(i, "\n".join([shared] * 8 + [" ".join(f"own{i}x{j}" for j in range(45))]), None if i % 2 else "") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert line_rules.depleted(line_rules.line_counts(table)).count() == 0  # six documents of each
+    more = table.unionByName(spark.createDataFrame([(100 + i, rows[1][1], None) for i in range(6)], table.schema))
+    assert line_rules.depleted(line_rules.line_counts(more)).count() == 0  # copies are one text
+    lines = line_rules.line_counts(more).join(line_rules.text_counts(more), ["host", "text_key"])
+    assert line_rules.depleted(lines).count() == 6  # or documents each: twelve of the null host
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(12)], "doc_id long, quality int")
+    rates = {r.host_rate for r in quality.posteriors(table.withColumn("lang", F.lit("en")), labels).collect()}
+    assert len(rates) > 1
+
+
+def test_posteriors_against_plain_sums(spark, sf):
+    """Evidence, spreads and shrunken rates recomputed over plain lists."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    own, base = quality.evidence(docs, labels, "source", "lang")
+    rows = own.collect()
+    e = np.array([r.evidence for r in rows])
+    q = 1 / (1 + np.exp(-np.clip(e + np.log(base / (1 - base)), -30, 30)))
+    rate = q.mean()
+
+    def sums(keys):
+        n, s = {}, {}
+        for k, x in zip(keys, q):
+            n[k], s[k] = n.get(k, 0) + 1, s.get(k, 0) + x
+        return n, s
+
+    def strength(n, s):
+        size, inner = sum(n.values()), rate * (1 - rate)
+        v = sum(n[k] * (s[k] / n[k] - rate) ** 2 for k in n)
+        between = (v - (len(n) - 1) * inner) / (size - sum(x * x for x in n.values()) / size)
+        return min(1e6, max(1.0, inner / between - 1)) if between > 0 else 1e6
+
+    host, path = [r.host for r in rows], [(r.host, r.path) for r in rows]
+    (hn, hs), (pn, ps) = sums(host), sums(path)
+    of_host, of_path = strength(hn, hs), strength(pn, ps)
+    want = {}
+    for r, h, p, x in zip(rows, host, path, q):
+        of = (hs[h] - x + of_host * rate) / (hn[h] - 1 + of_host)
+        at = min(1 - 1e-9, max(1e-9, (ps[p] - x + of_path * of) / (pn[p] - 1 + of_path)))
+        want.setdefault(r.doc_id, 1 / (1 + np.exp(-(r.evidence + np.log(at / (1 - at))))))
+    got = quality.posteriors(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert all(abs(r.quality - want[r.doc_id]) < 1e-9 for r in got)
+    truth = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    pairs = [(r.kept, truth[r.doc_id] > 0) for r in got if r.doc_id in truth]
+    assert sum(a == b for a, b in pairs) >= 0.8 * len(pairs)
+
+
+def test_leader_against_a_dense_loop():
+    """The sparse updates of follow-the-regularised-leader give what the textbook loop over all weights gives."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        at = np.sort(rng.choice(11, 4, replace=False))
+        v = rng.random(4)
+        rows.append((at, v / np.sqrt(v @ v), int(at[0] % 3)))
+    w, bias = language.follow_the_leader(rows, 3, 12)
+    z, n = np.zeros((13, 3)), np.zeros((13, 3))
+    order = np.random.default_rng(7)
+
+    def weight(f, c):
+        l1 = 0.0 if f == 12 else language.L1
+        if abs(z[f, c]) <= l1:
+            return 0.0
+        return -(z[f, c] - np.sign(z[f, c]) * l1) / ((language.BETA + np.sqrt(n[f, c])) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for r in order.permutation(len(rows)):
+            at, v, y = rows[r]
+            x = np.zeros(13)
+            x[at], x[12] = v, 1.0
+            now = np.array([[weight(f, c) for c in range(3)] for f in range(13)])
+            score = np.exp(x @ now)
+            p = score / score.sum()
+            for f in range(13):
+                for c in range(3):
+                    g = (p[c] - (c == y)) * x[f]
+                    sigma = (np.sqrt(n[f, c] + g * g) - np.sqrt(n[f, c])) / language.ALPHA
+                    z[f, c] += g - sigma * now[f, c]
+                    n[f, c] += g * g
+    dense = np.array([[weight(f, c) for c in range(3)] for f in range(13)])
+    assert np.allclose(w, dense[:-1]) and np.allclose(bias, dense[-1])
+    assert not w[11].any()  # a feature that never occurs has no weight
+
+
+def test_ordinal_fit_against_plain_likelihood():
+    """Grades drawn from planted weights and thresholds are found again, as by plain gradient steps on the same loss."""
+    rng = np.random.default_rng(9)
+    n, size = 3000, 5
+    x = rng.normal(size=(n, size))
+    true_w, true_t = np.array([1.5, -1.0, 0.0, 0.5, 0.0]), np.array([0.0, 1.6])
+    z = x @ true_w
+    y = (rng.random(n)[:, None] < 1 / (1 + np.exp(-(z[:, None] - true_t)))).astype(int)
+    u = rng.random(n)
+    p = 1 / (1 + np.exp(-(z[:, None] - true_t)))
+    y = (u[:, None] < p).sum(1)
+    text, feature = np.repeat(np.arange(n), size), np.tile(np.arange(size), n)
+    w, t = toxicity.fit_ordinal(text, feature, x.ravel(), y, size, 3)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())[:, None]
+    above = y[:, None] >= np.arange(1, 3)
+    a, b = np.zeros(size), np.zeros(2)
+    for _ in range(20_000):
+        err = (1 / (1 + np.exp(-((x @ a)[:, None] - b))) - above) * weight
+        a -= 1.0 * (x.T @ err.sum(1))
+        b += 1.0 * err.sum(0)
+    assert np.abs(w - a).max() < 0.1 and np.abs(t - b).max() < 0.1
+    assert np.abs(w - true_w).max() < 0.25 and abs((t[1] - t[0]) - 1.6) < 0.25
