@@ -16,6 +16,22 @@ def matches_pattern(column: Column, pattern: str) -> Column:
     return column.cast("string").rlike("(?i)" + "".join(wild.get(c, re.escape(c)) for c in pattern))
 
 
+def positive_or(text: Column, fallback: float) -> Column:
+    """A positive finite number, or the fallback."""
+    number = text.try_cast("double")
+    return F.when((number > 0) & (number < float("inf")), number).otherwise(F.lit(fallback))
+
+
+def member_size(member: Column) -> Column:
+    """The number before the first colon of ``size:json``."""
+    return F.substring_index(member, ":", 1).try_cast("bigint")
+
+
+def member_value(member: Column, schema: str) -> Column:
+    """The JSON after the first colon of ``size:json``; null where it is none."""
+    return F.from_json(F.substring(member, F.instr(member, ":") + 1, F.length(member)), schema)
+
+
 def stop_code(code: Column) -> Column:
     return F.upper(F.trim(F.split(F.coalesce(code, F.lit("")), ":")[0]))
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from taktwerk.functions.geo import GEOMETRY_RADIUS, clamp01, fraction_along, haversine, squared_offset, valid_coordinate
 
 
+#: Metres along a route by which segments and positions are brought together.
+CELL = 1000.0
+
+
 def segments(points: DataFrame) -> DataFrame:
     """(line, route, seg, lat0, lon0, lat1, lon1, cum0, cum1) from points (line, route, pos, latitude, longitude).
 
@@ -38,16 +42,20 @@ def projected(places: DataFrame, segs: DataFrame) -> DataFrame:
 
 def estimated(pairs: DataFrame, projections: DataFrame, segs: DataFrame, progress: Column) -> DataFrame:
     """Adds est_latitude and est_longitude to rows (id, line, vgnkennung, next_vgnkennung, ...): on the route nearest to
-    both stops, ``progress`` of the way between their feet; null where a line has no geometry. ``id`` is unique."""
+    both stops, ``progress`` of the way between their feet; null where a line has no geometry. ``id`` is unique.
+
+    A row meets the segments in its cell of ``CELL`` metres along the route, by an equi-join."""
     here = projections.select("line", "route", "vgnkennung", F.col("along").alias("a0"), F.col("off2").alias("o0"))
     there = projections.select("line", "route", F.col("vgnkennung").alias("next_vgnkennung"), F.col("along").alias("a1"), F.col("off2").alias("o1"))
-    both = pairs.withColumn("share", clamp01(progress)).select("id", "line", "vgnkennung", "next_vgnkennung", "share").join(here, ["line", "vgnkennung"]).join(there, ["line", "route", "next_vgnkennung"])
+    pairs_ = pairs.withColumn("share", clamp01(progress)).select("id", "line", "vgnkennung", "next_vgnkennung", "share")
+    both = pairs_.join(here, ["line", "vgnkennung"]).join(there, ["line", "route", "next_vgnkennung"])
     target = F.col("a0") + (F.col("a1") - F.col("a0")) * F.col("share")
     route = both.groupBy("id", "line").agg(F.min(F.struct((F.col("o0") + F.col("o1")).alias("o"), F.col("route"), target.alias("d"))).alias("r")).select("id", "line", "r.route", "r.d")
     last = Window.partitionBy("line", "route")
-    ends = segs.withColumn("is_last", F.col("seg") == F.max("seg").over(last))
+    cell = lambda d: F.floor(F.col(d) / CELL)
+    ends = segs.withColumn("is_last", F.col("seg") == F.max("seg").over(last)).withColumn("cell", F.explode(F.sequence(cell("cum0"), cell("cum1"))))
     on = (F.col("d") >= F.col("cum0")) | (F.col("seg") == 1)
-    found = route.join(ends, ["line", "route"]).where(on & ((F.col("d") < F.col("cum1")) | F.col("is_last")))
+    found = route.withColumn("cell", cell("d")).join(ends, ["line", "route", "cell"]).where(on & ((F.col("d") < F.col("cum1")) | F.col("is_last")))
     part = F.when(F.col("cum1") > F.col("cum0"), (F.col("d") - F.col("cum0")) / F.nullif(F.col("cum1") - F.col("cum0"), F.lit(0.0))).otherwise(0.0)
     found = found.withColumn("part", part).groupBy("id").agg(F.max_by(F.struct((F.col("lat0") + (F.col("lat1") - F.col("lat0")) * F.col("part")).alias("est_latitude"), (F.col("lon0") + (F.col("lon1") - F.col("lon0")) * F.col("part")).alias("est_longitude")), "seg").alias("e")).select("id", "e.*")
     return pairs.join(found, "id", "left")

@@ -32,10 +32,11 @@ def retained(log: DataFrame, ts: str, size: str, key: str, newest: Column, hours
     return rows.join(later, "hour_").withColumn("bytes_", F.col("later_") + within).where(F.col("bytes_") <= most_bytes).drop("hour_", "later_", "bytes_")
 
 
-def limited(calls: DataFrame, key: str, ts_ms: str, cost: str, a_minute: float = 10.0) -> DataFrame:
+def limited(calls: DataFrame, key: str, ts_ms: str, cost: str, a_minute: float = 10.0, undrained: bool = False) -> DataFrame:
     """(key, ts_ms, cost, level, blocked): a leaky counter of each key that drains ``a_minute`` by the minute.
 
-    A call passes while the drained level and its cost stay below the capacity, which is what drains in a minute. Each
+    A call passes while the drained level and its cost stay below the capacity, which is what drains in a minute; with
+    ``undrained`` the level of the last call decides, as before anything drained. A late call drains nothing. Each
     call depends on all before it, so a key is folded in order; a task streams its sorted keys and holds one level.
     """
 
@@ -48,8 +49,9 @@ def limited(calls: DataFrame, key: str, ts_ms: str, cost: str, a_minute: float =
                 if k != at:
                     at, level, last, stop = k, float(c), t, False
                 else:
+                    t = max(t, last)
                     drained = level - (t - last) / 60_000 * a_minute
-                    stop = drained + c >= a_minute
+                    stop = (level if undrained else drained) + c >= a_minute
                     level, last = max(0.0, drained) + (0.0 if stop else c), t
                 levels.append(level)
                 blocked.append(stop)

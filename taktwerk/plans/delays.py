@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 
 from pyspark.sql import functions as F
 
 from taktwerk.functions.text import control_room_class, minutes_seconds
 from taktwerk.operators import delays as op
+from taktwerk.plans.params import Histogram
 from taktwerk.plans.registry import query
 from taktwerk.sources.fixtures import DAY, FROM, TO, Fixtures
 
@@ -71,7 +74,8 @@ def delay_histogram(t: Fixtures):
 
 @query("delay_histogram_filtered", _HIST.format("AND f.linienname = 'U1' AND produkt = 2 AND fh.ankunft_v >= -200 AND fh.ankunft_v <= 600"))
 def delay_histogram_filtered(t: Fixtures):
-    return op.histogram(t.stop_events, t.trips, FROM, TO, line="U1", product=2, vehicle=0, min_delay=-200, max_delay=600)
+    asked = Histogram(dt.date.fromisoformat(FROM), dt.date.fromisoformat(TO), min_delay=-200, max_delay=600, line="U1", product=2, vehicle=0)
+    return op.histogram(t.stop_events, t.trips, asked.start.isoformat(), asked.end.isoformat(), line=asked.line, product=asked.product, vehicle=asked.vehicle, min_delay=asked.min_delay, max_delay=asked.max_delay)
 
 
 @query("delay_histogram_pct", _HIST_CTE + " SELECT bin_start, count, count * 1e2 / (SELECT sum(count) FROM h) AS percentage FROM h")

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from taktwerk.operators import geometry, live
 from taktwerk.operators import trips as trip_op
 from taktwerk.operators.stops import line_order
+from taktwerk.plans.params import Box
 from taktwerk.plans.registry import query
 from taktwerk.plans.statistics import _ORDER
 from taktwerk.plans.stops import _haversine
 from taktwerk.plans.trips import _NOW, STATE, now, rows
 from taktwerk.sources.fixtures import Fixtures
+from taktwerk.sources.scratch import stored
 
-BOX = ((49.35, 10.95), (49.5, 11.2))
+_ASKED = Box.of((11.2, 49.35), (10.95, 49.5))
+BOX = (_ASKED.low, _ASKED.high)
 
 _LIVE = STATE + (
     f", live AS (SELECT betriebstag, fahrtnummer, produkt, vgnkennung, n_vgn AS next_vgnkennung, linienname, richtung, fahrzeugnummer, CASE WHEN st IS NULL OR n_arr IS NULL OR n_arr <= st THEN 0e0 ELSE greatest(0, least(1, ({_NOW} - st) / (n_arr - st)::DOUBLE)) END AS progress,"
@@ -68,8 +71,10 @@ def line_segments(t: Fixtures):
 
 
 def _estimates(t: Fixtures):
-    under_way = trips_under_way(t).withColumns({"id": F.xxhash64("betriebstag", "fahrtnummer", "produkt"), "line": F.col("linienname")})
-    segs = geometry.segments(geometry_points(t))
+    """Trips under way with the place on their line. The trips and the segments, a dimension of the lines, are stored:
+    several steps read them."""
+    under_way = stored(trips_under_way(t).withColumns({"id": F.xxhash64("betriebstag", "fahrtnummer", "produkt"), "line": F.col("linienname")}), "trips-under-way")
+    segs = stored(geometry.segments(geometry_points(t)), "segments")
     around = under_way.select("line", F.explode(F.array("vgnkennung", "next_vgnkennung")).alias("vgnkennung")).distinct().join(t.stops.select("vgnkennung", "latitude", "longitude"), "vgnkennung")
     return geometry.estimated(under_way, geometry.projected(around, segs), segs, F.col("progress"))
 

@@ -125,10 +125,28 @@ def prometheus_lines(t: Fixtures):
     return op.exposition(named)
 
 
-@query("rate_limiter_fold")
+def _calls(t: Fixtures):
+    return t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.lit(1.0).alias("cost"))
+
+
+#: The leaky counter call by call, for DuckDB; {0} is the level that decides.
+LIMITER = (
+    "WITH RECURSIVE c AS (SELECT user_id, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),"
+    " l AS (SELECT user_id, ts_ms, i, 1e0 AS level, false AS blocked FROM c WHERE i = 1"
+    " UNION ALL SELECT n.user_id, n.ts_ms, n.i, greatest(0e0, n.drained) + CASE WHEN {0} + 1e0 >= 1e1 THEN 0e0 ELSE 1e0 END AS level, {0} + 1e0 >= 1e1 AS blocked"
+    " FROM (SELECT c.user_id, c.ts_ms, c.i, l.level AS level, l.level - (c.ts_ms - l.ts_ms) / 6e4 * 1e1 AS drained FROM l JOIN c ON c.user_id = l.user_id AND c.i = l.i + 1) n)"
+)
+
+
+@query("rate_limiter_fold", LIMITER.format("n.drained") + " SELECT user_id, ts_ms, 1e0 AS cost, round(level, 6) AS level, blocked FROM l", prelude=False)
 def rate_limiter_fold(t: Fixtures):
-    calls = t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.lit(1.0).alias("cost"))
-    return op.limited(calls, "user_id", "ts_ms", "cost")
+    return op.limited(_calls(t), "user_id", "ts_ms", "cost").withColumn("level", F.round("level", 6))
+
+
+@query("rate_limiter_undrained", LIMITER.format("n.level") + " SELECT user_id, ts_ms, 1e0 AS cost, round(level, 6) AS level, blocked FROM l", prelude=False)
+def rate_limiter_undrained(t: Fixtures):
+    """The variant that compares the level as the last call left it."""
+    return op.limited(_calls(t), "user_id", "ts_ms", "cost", undrained=True).withColumn("level", F.round("level", 6))
 
 
 @query("coded_trips", "SELECT DISTINCT CASE produkt WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS produkt, (CASE besetzungsgrad WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END)::INTEGER AS besetzungsgrad, (CASE WHEN fahrzeugnummer = 0 THEN 0 WHEN fahrzeugnummer = -1 THEN -1 ELSE fahrzeugnummer END)::INTEGER AS fahrzeugnummer, richtung::INTEGER AS richtung FROM fahrten")

@@ -92,6 +92,59 @@ class LineProfile:
         _within("days", self.days, 1, 180)
 
 
+@dataclass(frozen=True)
+class Departures:
+    time_span: int = 1440
+    time_delay: int = 0
+    limit_count: int = 30
+    line: str | None = None
+    product: int | None = None
+
+    def __post_init__(self):
+        _within("time_span", self.time_span, 1, 1440)
+        _within("time_delay", self.time_delay, 0, 1440)
+        _within("limit_count", self.limit_count, 1, 100)
+
+    @classmethod
+    def of(cls, query: Mapping[str, object]) -> Departures:
+        """From the spellings of a request; parameters without a value keep their default."""
+        names = {"Line": "line", "Product": "product", "TimeSpan": "time_span", "TimeDelay": "time_delay", "LimitCount": "limit_count"}
+        return cls(**{names[k]: v for k, v in filled(query).items() if k in names})
+
+
+@dataclass(frozen=True)
+class Box:
+    """Two corners (longitude, latitude) in any order; no box spans the antimeridian."""
+
+    low: tuple[float, float]
+    high: tuple[float, float]
+
+    @classmethod
+    def of(cls, pos1: tuple[float, float] | None, pos2: tuple[float, float] | None) -> Box | None:
+        if (pos1 is None) != (pos2 is None):
+            raise InvalidParameter("a box has two corners")
+        if pos1 is None:
+            return None
+        for longitude, latitude in (pos1, pos2):
+            _within("longitude", longitude, -180, 180)
+            _within("latitude", latitude, -90, 90)
+        if pos1[0] == pos2[0] or pos1[1] == pos2[1]:
+            raise InvalidParameter("the corners of a box differ in both directions")
+        west, east = sorted((pos1[0], pos2[0]))
+        south, north = sorted((pos1[1], pos2[1]))
+        return cls((south, west), (north, east))
+
+
+@dataclass(frozen=True)
+class TracePage:
+    offset: int = 0
+    limit: int = 50
+
+    def __post_init__(self):
+        _within("offset", self.offset, 0)
+        _within("limit", self.limit, 1, 500)
+
+
 @dataclass(frozen=True)
 class Nearby:
     latitude: float

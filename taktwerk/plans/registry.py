@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None, prelude: bool = True):
     return add
 
 
-from taktwerk.plans import delays, discovery, live, operations, statistics, stops, streams, trips, vehicles  # noqa: E402, F401
+from taktwerk.plans import delays, departures, discovery, live, operations, statistics, stops, streams, trips, vehicles  # noqa: E402, F401

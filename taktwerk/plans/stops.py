@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from taktwerk.functions.text import line_label, normal_product, product_flags, stop_code
 from taktwerk.operators import stops as op
 from taktwerk.operators.versioned import latest_version
+from taktwerk.plans.params import Nearby
 from taktwerk.plans.registry import query
 from taktwerk.sources.fixtures import Fixtures
 
@@ -73,7 +74,8 @@ def stop_by_id(t: Fixtures):
 
 @query("stops_in_radius", f"SELECT vgnkennung, round({_DISTANCE}, 6) AS distanz FROM haltestellen WHERE {_DISTANCE} <= 2000")
 def stops_in_radius(t: Fixtures):
-    return op.in_radius(t.stops, LAT, LON, 2000).select("vgnkennung", F.round("distanz", 6).alias("distanz"))
+    asked = Nearby(LAT, LON, 2000)
+    return op.in_radius(t.stops, asked.latitude, asked.longitude, asked.radius).select("vgnkennung", F.round("distanz", 6).alias("distanz"))
 
 
 @query("nearest_stops", f"SELECT vgnkennung, round({_DISTANCE}, 6) AS distanz FROM haltestellen WHERE {_DISTANCE} <= 5000 ORDER BY {_DISTANCE}, vgnkennung LIMIT 5")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taktwerk.plans.operations import LIMITER
 from taktwerk.plans.registry import query
 from taktwerk.sources.fixtures import Fixtures
 from taktwerk.streaming import queries as op
@@ -32,6 +33,6 @@ def stream_trip_state(t: Fixtures):
     return out.where("phase <> 'failed'").groupBy("id").agg(F.max_by("phase", "n").alias("phase"), F.max("n").alias("n"))
 
 
-@query("stream_rate_limiter")
+@query("stream_rate_limiter", LIMITER.format("n.drained") + " SELECT user_id AS id, count(*) FILTER (WHERE NOT blocked) AS passed, count(*) FILTER (WHERE blocked) AS blocked FROM l GROUP BY 1", prelude=False)
 def stream_rate_limiter(t: Fixtures):
     return drained(op.limited(events(t), "user_id", "ts"), "update").groupBy("id").agg(F.max("passed").alias("passed"), F.max("blocked").alias("blocked"))

@@ -15,11 +15,12 @@ MIGRATIONS = T.StructType([T.StructField("id", T.StringType()), T.StructField("f
 
 
 def append(df: DataFrame, path: str, day: str | None = None) -> None:
-    """Adds row versions; an update is a newer row. Facts go to monthly folders, sorted so that row groups can be skipped."""
+    """Adds row versions; an update is a newer row. Facts go to monthly folders, sorted so that row groups can be skipped;
+    rows are dealt by ranges of days and a hash, so that a large month is written by several tasks."""
     if day is None:
         df.write.mode("append").parquet(path)
     else:
-        month_partition(df, day).repartition("yyyymm").sortWithinPartitions(day).write.mode("append").partitionBy("yyyymm").parquet(path)
+        month_partition(df, day).repartitionByRange("yyyymm", day, F.xxhash64(*df.columns)).sortWithinPartitions("yyyymm", day).write.mode("append").partitionBy("yyyymm").parquet(path)
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], *version: str) -> DataFrame:

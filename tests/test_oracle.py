@@ -10,8 +10,8 @@ def test_same_as_sql(spark, sf, same_rows, name):
     same_rows(QUERIES[name](spark, sf), ORACLE_SQL[name])
 
 
-def test_only_folds_lack_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"rate_limiter_fold", "stream_rate_limiter"}
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):

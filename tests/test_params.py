@@ -28,3 +28,13 @@ def test_spellings_and_blanks():
     with pytest.raises(p.InvalidParameter):
         p.one_spelling({"Linie": "U1", "line": "U2"}, "Linie", "line")
     assert p.filled({"a": 0, "b": None, "c": ""}) == {"a": 0}
+
+
+def test_departures_and_boxes():
+    asked = p.Departures.of({"Line": "U1", "Product": None, "TimeSpan": 60, "LimitCount": ""})
+    assert asked == p.Departures(time_span=60, line="U1")
+    assert p.Box.of((11.2, 49.35), (10.95, 49.5)) == p.Box((49.35, 10.95), (49.5, 11.2))
+    assert p.Box.of(None, None) is None
+    for bad in (lambda: p.Departures(time_span=0), lambda: p.Departures(time_delay=1441), lambda: p.Departures(limit_count=101), lambda: p.Box.of((1, 2), None), lambda: p.Box.of((1, 2), (1, 3)), lambda: p.Box.of((1, 2), (190, 3)), lambda: p.TracePage(limit=0)):
+        with pytest.raises(p.InvalidParameter):
+            bad()
