@@ -61,10 +61,10 @@ def stop_search_all(t: Fixtures):
     return op.search(op.listed(t.stops), {})
 
 
-@query("stop_by_code", f", l AS ({_LISTED}) SELECT vgnkennung, vagkennung FROM l WHERE regexp_matches(vagkennung, '(?i).*STEEL.*') ORDER BY vgnkennung LIMIT 1")
+@query("stop_by_code", f", l AS ({_LISTED}) SELECT vgnkennung, vagkennung FROM l WHERE regexp_matches(vagkennung, '(?i).*ECON.*') ORDER BY vgnkennung LIMIT 1")
 def stop_by_code(t: Fixtures):
     """The first stop with a partial code."""
-    return op.search(op.listed(t.stops), {"vagkennung": "%STEEL%"}).orderBy("vgnkennung").limit(1).select("vgnkennung", "vagkennung")
+    return op.search(op.listed(t.stops), {"vagkennung": "%ECON%"}).orderBy("vgnkennung").limit(1).select("vgnkennung", "vagkennung")
 
 
 @query("stop_by_id", f"SELECT {_COLUMNS} FROM haltestellen WHERE vgnkennung = 7")
