@@ -13,7 +13,8 @@ their prefixes is a posting list. Nodes then meet twice:
    the marked ones it finds the links.
 
 So every pair at or above the threshold is checked or already connected; nothing is capped. Links become classes by
-distributed components. Groups are dealt in parts of bounded size (first shingles) or as pairs of parts (posting lists).
+distributed components. Groups are dealt in parts of bounded size (first shingles) or as pairs of parts (posting lists);
+a list too long for one task is first cut into bands of size, as similar sets lie in one band or in neighbouring ones.
 
 Defined results: a null text, or one without words, has no shingles and is alone; fewer words than a shingle has are
 one shingle; copies and repeated rows share a class; a null doc_id is a row like any other, ignored in the smallest
@@ -37,10 +38,12 @@ SEP = common.separators("space")
 COUNT_BITS = 20
 #: A shingle is frequent whose count cell exceeds so many times the mean, and so many at least.
 FREQUENT_TIMES, FREQUENT_LEAST = 8, 32
-#: Shingles in a part of a group that is dealt with whole sets; rows in a part dealt with bit vectors.
-PART_SHINGLES, PART_ROWS = 2_000_000, 4096
+#: Shingles in a part of a group; a row counts as so many more, so that parts of short texts are bounded as well.
+PART_SHINGLES, ROW_SHINGLES = 2_000_000, 128
+#: Distinct sets that a task remembers before it shuffles their prefixes.
+REMEMBERED = 1 << 20
 #: Bits of a vector at least; sets of many shingles have more.
-BITS = 2048
+BITS = 256
 #: Bits a shingle in the vectors that stand before an exact check.
 FINE = 64
 LEAF, FAN = 32, 8
@@ -93,7 +96,8 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def frequent_cells(sets: DataFrame) -> np.ndarray:
-    """For each of 2**20 cells of shingle hashes, whether its documents are many; the counts cover all rows."""
+    """For each of 2**20 cells of shingle hashes the shares in which its rows are dealt: 0 for the usual, one or more
+    where its documents are many. The counts cover all rows."""
     mask = (1 << COUNT_BITS) - 1
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -101,39 +105,47 @@ def frequent_cells(sets: DataFrame) -> np.ndarray:
         total += np.bincount(np.concatenate(cells), minlength=len(total))
 
     counts = common.summed_vector(sets.where("n > 0").select("blob"), add, 1 << COUNT_BITS)
-    return np.packbits(counts > FREQUENT_TIMES * counts.mean() + FREQUENT_LEAST)
+    most = FREQUENT_TIMES * counts.mean() + FREQUENT_LEAST
+    return np.where(counts > most, np.minimum(np.ceil(counts / most), np.iinfo(np.uint16).max), 0).astype(np.uint16)
 
 
 def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(h, sid, pos): the shingles of each set's prefix in the common order."""
+    """(h, share, sid, pos): the shingles of each set's prefix in the common order; share 0 but for frequent ones."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
     mask = (1 << COUNT_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.unpackbits(shared.value).astype(bool)
-        seen: set[int] = set()  # copies that a task has met: before the shuffle a set counts once in each task
+        seen: set[int] = set()  # copies that a task has met lately: before the shuffle a set seldom counts twice in a task
         for batch in batches:
-            hs, sids, pos = [], [], []
+            hs, sids, pos, share = [], [], [], []
             for sid, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if sid in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(sid)
                 v = unpack(blob)
-                late = last[v & mask]
-                p = np.concatenate([v[~late], v[late]])[: n - -(-n * percent // 100) + 1]
-                hs.append(p)
-                sids.append(np.full(len(p), sid))
-                pos.append(np.arange(len(p), dtype=np.int32))
+                shares = shared.value[v & mask]
+                late = shares > 0
+                most = n - -(-n * percent // 100) + 1
+                hs.append(np.concatenate([v[~late], v[late]])[:most])
+                shares = np.concatenate([shares[~late], shares[late]])[:most].astype(np.int64)
+                share.append(np.where(shares > 0, 1 + sid % np.maximum(shares, 1), 0).astype(np.int32))
+                sids.append(np.full(len(hs[-1]), sid))
+                pos.append(np.arange(len(hs[-1]), dtype=np.int32))
             if hs:
-                yield pa.RecordBatch.from_pydict({"h": np.concatenate(hs), "sid": np.concatenate(sids), "pos": np.concatenate(pos)})
+                yield pa.RecordBatch.from_pydict({"h": np.concatenate(hs), "share": np.concatenate(share), "sid": np.concatenate(sids), "pos": np.concatenate(pos)})
 
-    return sets.where("n > 0").select("sid", "n", "blob").mapInArrow(run, "h bigint, sid bigint, pos int")
+    return sets.where("n > 0").select("sid", "n", "blob").mapInArrow(run, "h bigint, share int, sid bigint, pos int")
 
 
 def shared_postings(prefix: DataFrame) -> DataFrame:
-    """(h, sid, pos) of shingles that two sets or more have in their prefixes; one shuffle, each row once."""
-    w = Window.partitionBy("h")
-    return prefix.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where("lo < hi").drop("lo", "hi").dropDuplicates(["h", "sid"])
+    """(h, sid, pos) of shingles that two sets or more have in their prefixes; one shuffle, each row once.
+
+    The rows of a frequent shingle are dealt by shares and all stay, with or without company."""
+    w = Window.partitionBy("h", "share")
+    rows = prefix.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where("share > 0 or lo < hi")
+    return rows.dropDuplicates(["h", "share", "sid"]).select("h", "sid", "pos")
 
 
 # ---------------------------------------------------------------- signature trees
@@ -317,7 +329,7 @@ def local_classes(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def marked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(h, sid, leader) from rows (h, i, j, part, n, sid, leader, bits) in order: members that may be similar to one of another leader."""
+    """(h, sid, leader, n) from rows (h, i, j, part, n, sid, leader, bits) in order: members that may be similar to one of another leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -335,13 +347,13 @@ def marked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                         apart = parts[x] != parts[y]
                         x, y = x[apart], y[apart]
                     near[x] = near[y] = True
-            out += [(h, group[x][2], int(labels[x])) for x in np.flatnonzero(near).tolist()]
+            out += [(h, group[x][2], int(labels[x]), int(sizes[x])) for x in np.flatnonzero(near).tolist()]
             if len(out) >= 4096:
-                yield _longs(("h", "sid", "leader"), out)
+                yield _longs(("h", "sid", "leader", "n"), out)
                 out = []
-        yield _longs(("h", "sid", "leader"), out)
+        yield _longs(("h", "sid", "leader", "n"), out)
 
-    return rows.mapInArrow(run, "h bigint, sid bigint, leader bigint").distinct()
+    return rows.mapInArrow(run, "h bigint, sid bigint, leader bigint, n bigint").distinct()
 
 
 def linked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -390,11 +402,28 @@ def whole_sets(wanted: DataFrame, sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def _dealt(cross: DataFrame, content: DataFrame, column: str, size: Column, most: int) -> DataFrame:
-    """Posting rows with the content of their sets, in order by list; a long list is dealt as pairs of its parts."""
-    parts = F.ceil(size.over(Window.partitionBy("h")) / F.lit(most)).cast("int")
-    rows = cross.join(content.select("sid", "n"), "sid").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _weight(size: str) -> Column:
+    """What a set weighs in a part."""
+    return F.col(size) + F.lit(ROW_SHINGLES)
+
+
+def _parts(total: Column) -> Column:
+    return F.ceil(total / F.lit(PART_SHINGLES)).cast("int")
+
+
+def _dealt(cross: DataFrame, content: DataFrame, column: str, percent: int) -> DataFrame:
+    """Posting rows (h, sid, leader, n) with the content of their sets, in order by list; a long list is dealt by bands of size, each band
+    with the one below it, as pairs of its parts.
+
+    Long lists and their bands are small tables of their own, so the rows need not be shuffled to find them."""
+    long = common.save(cross.groupBy("h").agg(F.sum(_weight("n")).alias("total")).where(F.col("total") > PART_SHINGLES).select("h", F.lit(True).alias("long")), "long")
+    # a shade wider than the threshold, so that rounding cannot part two sets by more than one band
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("int") + 1
+    bands = F.explode(F.when(F.col("long"), F.array(band, band + 1)).otherwise(F.array(F.lit(0))))
+    shares = common.save(cross.join(long, "h").withColumn("band", bands).groupBy("h", "band").agg(_parts(F.sum(_weight("n"))).alias("parts")), "bands")
+    rows = cross.join(long, "h", "left").withColumn("band", bands).join(shares, ["h", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = lambda p: F.col("band").cast("bigint") * (1 << 32) + p
+    rows = rows.withColumn("part", part(F.pmod(F.xxhash64("sid"), F.col("parts")))).withColumn("other", F.explode(F.sequence(part(F.lit(0)), part(F.col("parts") - 1))))
     rows = rows.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "n", "sid", "leader")
     rows = rows.join(content.select("sid", column), "sid").select("h", "i", "j", "part", "n", "sid", "leader", column)
     return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
@@ -416,25 +445,28 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
 def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n, component, component_id) of each document; no component where it has no words."""
     sets = common.save(shingle_sets(docs, k), "sets")
-    first = sets.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"))
+    first = sets.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.first("n").alias("size"))
     posts = common.save(shared_postings(prefixes(sets, frequent_cells(sets), percent)), "posts")
     common.settle(docs.sparkSession)
 
-    keys = posts.groupBy("sid").agg(F.min_by("h", "pos").alias("key")).join(first, "sid").select("sid", "rid", "key")
-    keys = keys.join(sets.select("rid", F.col("n").alias("size")), "rid")
-    parts = F.ceil(F.sum("size").over(Window.partitionBy("key")) / F.lit(PART_SHINGLES))
-    keys = common.save(keys.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).select("sid", "rid", "key", "part"), "keys")
-    whole = whole_sets(keys, sets).select("key", "part", "n", "sid", "blob").repartition("key", "part").sortWithinPartitions("key", "part")
+    keys = posts.groupBy("sid").agg(F.min_by("h", "pos").alias("key")).join(first, "sid").select("sid", "rid", "key", "size")
+    keys = common.save(keys, "keys")
+    long = common.save(keys.groupBy("key").agg(_parts(F.sum(_weight("size"))).alias("parts")).where("parts > 1"), "long")
+    dealt = keys.join(long, "key", "left").select("sid", "rid", "key", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    whole = whole_sets(dealt, sets).select("key", "part", "n", "sid", "blob").repartition("key", "part").sortWithinPartitions("key", "part")
     local = common.save(local_classes(whole, percent), "local")
     common.settle(docs.sparkSession)
 
-    cross = common.save(_between_classes(posts.select("h", "sid").join(local.select("sid", "leader"), "sid")), "cross")
-    near = common.save(marked(_dealt(cross, local, "bits", F.count("*"), PART_ROWS), percent), "near")
-    near = common.save(_between_classes(near), "near-lists")
+    cross = common.save(_between_classes(posts.select("h", "sid").join(local.select("sid", "leader", "n"), "sid")), "cross")
+    common.discard(posts, keys)
+    near = common.save(marked(_dealt(cross, local, "bits", percent), percent), "near")
+    common.discard(cross)
+    lists = common.save(_between_classes(near), "near-lists")
+    common.discard(near)
     common.settle(docs.sparkSession)
-    asked = common.save(whole_sets(near.select("sid").distinct().join(first, "sid").select("sid", "rid"), sets).select("sid", "n", "blob"), "asked")
-    links = linked(_dealt(near, asked, "blob", F.sum("n"), PART_SHINGLES), percent)
-    reached = common.save(common.components(links), "classes")
+    asked = common.save(whole_sets(lists.select("sid").distinct().join(first, "sid").select("sid", "rid"), sets).select("sid", "n", "blob"), "asked")
+    reached = common.save(common.components(linked(_dealt(lists, asked, "blob", percent), percent)), "classes")
+    common.discard(lists, asked)
     leaders = local.select("sid", "leader").join(reached.select(F.col("id").alias("leader"), "component"), "leader", "left").select("sid", F.coalesce("component", "leader").alias("component"))
     named = first.select("sid", "least_id").join(leaders, "sid", "left").select("sid", "least_id", F.coalesce("component", "sid").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select("sid", "component", "component_id")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -63,7 +64,7 @@ def test_classes_against_all_pairs(spark, families, monkeypatch):
     want = brute_classes(families)
     docs = spark.createDataFrame(list(families.items()), "doc_id long, text string").repartition(5)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs).collect()} == want
-    for name, value in (("PART_SHINGLES", 3000), ("PART_ROWS", 16), ("LEAF", 2), ("FAN", 2), ("FREQUENT_LEAST", 4)):  # many small parts, deep trees
+    for name, value in (("PART_SHINGLES", 3000), ("ROW_SHINGLES", 128), ("LEAF", 2), ("FAN", 2), ("FREQUENT_LEAST", 4)):  # many small parts, deep trees
         monkeypatch.setattr(jaccard_join, name, value)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs).collect()} == want
 
@@ -83,6 +84,19 @@ def test_tree_misses_no_pair():
     assert len(set(zip(labels.tolist(), want.tolist()))) == len(set(labels.tolist())) == len(set(want.tolist()))
 
 
+def test_many_short_sets_take_little_memory():
+    """A part of short texts that share one shingle: the vectors are as wide as such sets need."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.append(rng.integers(0, 1 << 40, 19), 7)) for _ in range(5000)]
+    sets[-1] = sets[0].copy()
+    labels = np.arange(len(sets))
+    tracemalloc.start()
+    links = jaccard_join.link([len(s) for s in sets], sets, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {frozenset(pair) for pair in links} == {frozenset((0, 4999))} and peak < 25e6
+
+
 def test_packed_sets():
     s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
     assert (jaccard_join.unpack(jaccard_join.pack(s)) == np.unique(s & np.uint64((1 << 40) - 1)).astype(np.int64)).all()
