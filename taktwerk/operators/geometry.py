@@ -10,6 +10,8 @@ from taktwerk.functions.geo import GEOMETRY_RADIUS, clamp01, fraction_along, hav
 
 #: Metres along a route by which segments and positions are brought together.
 CELL = 1000.0
+#: Segments of a route in a block; shares of a line's blocks that are compared with its places by tasks of their own.
+BLOCK, SHARES = 64, 64
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -26,18 +28,29 @@ def segments(points: DataFrame) -> DataFrame:
     return rows.withColumn("cum1", cum1).select("line", "route", "seg", F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"), "lat1", "lon1", (F.col("cum1") - F.col("metres")).alias("cum0"), "cum1")
 
 
+def _offset(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows of a place and a segment with f, the foot's share of the segment, and the squared offset from it."""
+    f = fraction_along(F.col("latitude"), F.col("longitude"), F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
+    off2 = squared_offset(F.col("latitude"), F.col("longitude"), F.col("lat0") + (F.col("lat1") - F.col("lat0")) * F.col("f"), F.col("lon0") + (F.col("lon1") - F.col("lon0")) * F.col("f"))
+    return rows.withColumn("f", f), off2
+
+
 def projected(places: DataFrame, segs: DataFrame) -> DataFrame:
     """(line, route, vgnkennung, along, off2): the nearest point of each route of its line for each place, the first of ties.
 
-    An equi-join by line; what meets is a line's places and a line's segments.
+    What meets is a line's places and a line's segments, dealt in shares of each line. The least offset by blocks of a
+    route is a number in a hash aggregation, which nothing sorts; only the best block is looked at segment by segment.
     """
-    rows = places.join(segs, "line")
-    f = fraction_along(F.col("latitude"), F.col("longitude"), F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
-    rows = rows.withColumn("f", f)
-    off2 = squared_offset(F.col("latitude"), F.col("longitude"), F.col("lat0") + (F.col("lat1") - F.col("lat0")) * F.col("f"), F.col("lon0") + (F.col("lon1") - F.col("lon0")) * F.col("f"))
+    blocks = segs.withColumn("block", F.floor(F.col("seg") / BLOCK)).withColumn("share", F.pmod("block", F.lit(SHARES)).cast("int"))
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = places.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(tasks, "line", "share")
+    pairs, off2 = _offset(dealt.join(blocks, ["line", "share"]))
+    least = pairs.groupBy("line", "route", "vgnkennung", "block").agg(F.min(off2).alias("off2"))
+    best = least.groupBy("line", "route", "vgnkennung").agg(F.min(F.struct("off2", "block")).alias("b")).select("line", "route", "vgnkennung", "b.block")
+    pairs, off2 = _offset(best.join(places, ["line", "vgnkennung"]).join(blocks.drop("share"), ["line", "route", "block"]))
     along = F.col("cum0") + (F.col("cum1") - F.col("cum0")) * F.col("f")
-    best = F.min(F.struct(off2.alias("off2"), F.col("seg"), along.alias("along")))
-    return rows.groupBy("line", "route", "vgnkennung").agg(best.alias("b")).select("line", "route", "vgnkennung", "b.along", "b.off2")
+    nearest = F.min(F.struct(off2.alias("off2"), F.col("seg"), along.alias("along")))
+    return pairs.groupBy("line", "route", "vgnkennung").agg(nearest.alias("b")).select("line", "route", "vgnkennung", "b.along", "b.off2")
 
 
 def estimated(pairs: DataFrame, projections: DataFrame, segs: DataFrame, progress: Column) -> DataFrame:
