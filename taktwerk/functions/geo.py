@@ -25,16 +25,20 @@ def clamp01(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def fraction_along(lat: Column, lon: Column, lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
-    """Where the foot of a point lies on a segment, 0 to 1, in a plane scaled by the point's latitude."""
-    scale = F.cos(F.radians(lat))
+def plane_scale(lat: Column) -> Column:
+    """Degrees of latitude to a degree of longitude. Pairs of points and segments take it as a column of the point."""
+    return F.cos(F.radians(lat))
+
+
+def fraction_along(lat: Column, lon: Column, scale: Column, lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
+    """Where the foot of a point lies on a segment, 0 to 1, in a plane scaled by ``scale``; 0 on one without length."""
     dx, dy = (lon1 - lon0) * scale, lat1 - lat0
     length2 = dx * dx + dy * dy
-    return F.when(length2 == 0, F.lit(0.0)).otherwise(clamp01(((lon - lon0) * scale * dx + (lat - lat0) * dy) / F.when(length2 == 0, F.lit(1.0)).otherwise(length2)))
+    along = ((lon - lon0) * scale * dx + (lat - lat0) * dy) / F.nullif(length2, F.lit(0.0))
+    return F.when(along > 1, F.lit(1.0)).when(along > 0, along).when((along <= 0) | (length2 == 0), F.lit(0.0))
 
 
-def squared_offset(lat: Column, lon: Column, lat_on: Column, lon_on: Column) -> Column:
-    scale = F.cos(F.radians(lat))
+def squared_offset(lat: Column, lon: Column, scale: Column, lat_on: Column, lon_on: Column) -> Column:
     dx, dy = (lon - lon_on) * scale, lat - lat_on
     return dx * dx + dy * dy
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.geo import GEOMETRY_RADIUS, clamp01, fraction_along, haversine, squared_offset, valid_coordinate
+from taktwerk.functions.geo import GEOMETRY_RADIUS, clamp01, fraction_along, haversine, plane_scale, squared_offset, valid_coordinate
 
 
 #: Metres along a route by which segments and positions are brought together.
@@ -29,9 +29,9 @@ def segments(points: DataFrame) -> DataFrame:
 
 
 def _offset(rows: DataFrame) -> tuple[DataFrame, Column]:
-    """Rows of a place and a segment with f, the foot's share of the segment, and the squared offset from it."""
-    f = fraction_along(F.col("latitude"), F.col("longitude"), F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
-    off2 = squared_offset(F.col("latitude"), F.col("longitude"), F.col("lat0") + (F.col("lat1") - F.col("lat0")) * F.col("f"), F.col("lon0") + (F.col("lon1") - F.col("lon0")) * F.col("f"))
+    """Rows of a place, with its scale, and a segment with f, the foot's share of the segment, and the squared offset from it."""
+    f = fraction_along(F.col("latitude"), F.col("longitude"), F.col("scale"), F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
+    off2 = squared_offset(F.col("latitude"), F.col("longitude"), F.col("scale"), F.col("lat0") + (F.col("lat1") - F.col("lat0")) * F.col("f"), F.col("lon0") + (F.col("lon1") - F.col("lon0")) * F.col("f"))
     return rows.withColumn("f", f), off2
 
 
@@ -43,6 +43,7 @@ def projected(places: DataFrame, segs: DataFrame) -> DataFrame:
     """
     blocks = segs.withColumn("block", F.floor(F.col("seg") / BLOCK)).withColumn("share", F.pmod("block", F.lit(SHARES)).cast("int"))
     tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = places.withColumn("scale", plane_scale(F.col("latitude")))
     dealt = places.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(tasks, "line", "share")
     pairs, off2 = _offset(dealt.join(blocks, ["line", "share"]))
     least = pairs.groupBy("line", "route", "vgnkennung", "block").agg(F.min(off2).alias("off2"))

@@ -38,6 +38,7 @@ def listed(stops: DataFrame) -> DataFrame:
 
 def line_order(events: DataFrame, trips: DataFrame) -> DataFrame:
     """(linienname, richtung, vgnkennung, pos): stops of a line by the earliest time of day they are served."""
-    time = F.date_format(F.coalesce("ankunft_soll", "abfahrt_soll"), "HH:mm:ss")
+    served = F.coalesce("ankunft_soll", "abfahrt_soll")
+    time = F.hour(served) * 3600 + F.minute(served) * 60 + F.second(served)  # a number: its least needs no sorting
     first = events.join(trips.select(*TRIP_KEY, "linienname", "richtung"), list(TRIP_KEY)).groupBy("linienname", "richtung", "vgnkennung").agg(F.min(time).alias("first_time"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("linienname", "richtung").orderBy("first_time", "vgnkennung"))).drop("first_time")

@@ -86,3 +86,11 @@ def test_week_and_leap_day(spark):
 
 def test_metric_name(spark):
     assert values(spark, [("a.b c",), ("1x",)], "n string", text.metric_name(F.lit("P_"), F.col("n"))) == [("P_a_b_c",), ("P__1x",)]
+
+
+def test_foot_on_a_segment(spark):
+    rows = [(1, 0.5, 0.2), (2, 3.0, 0.0), (3, -1.0, 0.0), (4, None, 0.0)]
+    points = spark.createDataFrame(rows, "id int, lat double, lon double")
+    at = lambda lat1: geo.fraction_along(F.col("lat"), F.col("lon"), geo.plane_scale(F.col("lat")), F.lit(0.0), F.lit(0.0), F.lit(lat1).cast("double"), F.lit(0.0))
+    got = {r.id: (r.f, r.point, r.open) for r in points.select("id", at(1.0).alias("f"), at(0.0).alias("point"), at(None).alias("open")).collect()}
+    assert got == {1: (0.5, 0.0, None), 2: (1.0, 0.0, None), 3: (0.0, 0.0, None), 4: (None, None, None)}
