@@ -51,6 +51,25 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id)
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+f AS (SELECT part, [len(w) < 100, 100 * list_unique(w) < 80 * len(w), 100 * (len(t) - len(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * len(t),
+             regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first_id, false)] AS f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w JOIN firsts USING (t) LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS o FROM i a, i b, i x, i y, i z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+r AS (SELECT part, o, i AS step, f, f[o[i]] AS fails, len([j for j in o[1:i - 1] if f[j]]) > 0 AS gone, len([y for y in f if y]) = 1 AS lone, n, good, toxic FROM c, o, i),
+s AS (SELECT part, o, step, sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed, sum(n) FILTER (gone AND fails) AS redundant,
+             sum(n) FILTER (fails AND lone) AS unique_fails, sum(good) FILTER (NOT gone AND fails) AS good_lost, sum(toxic) FILTER (NOT gone AND fails) AS toxic_lost FROM r GROUP BY 1, 2, 3)
+SELECT part, array_to_string([chr((64 + j)::INTEGER) for j in o], '') AS filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, o[step])::BIGINT AS shapley FROM s
+"""
+
 
 def _spelled(x: str) -> str:
     for other, one in licenses.SPELLINGS:

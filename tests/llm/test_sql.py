@@ -10,5 +10,5 @@ def test_same_as_sql(spark, sf, same_rows, name):
     same_rows(QUERIES[name](spark, sf), ORACLE_SQL[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
