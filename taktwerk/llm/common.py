@@ -22,11 +22,11 @@ U64 = np.uint64
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Small batches for the plans that run inside; the session's own setting is back afterwards."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
+    spark.conf.set(name, rows)
     try:
         yield
     finally:
@@ -52,11 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with small_batches(spark):
+    with small_batches(spark, rows):
         df.write.parquet(path)
     out = spark.read.parquet(path)
     out.scratch = path

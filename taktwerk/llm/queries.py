@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import bpe, common, conversation_repair, decontaminate, filter_audit, jaccard_join, language, licenses, line_rules, passages, quality, sql, toxicity, warc
+from taktwerk.llm import bpe, common, conversation_repair, decontaminate, filter_audit, jaccard_join, language, licenses, line_rules, nearest, passages, quality, sql, toxicity, warc
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(conversations, conversation_repair.damaged(conversations))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency, "op2_decontaminate": op2_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op6_passages": op6_passages, "op1_language": op1_language, "op5_toxicity": op5_toxicity, "op7_licenses": op7_licenses, "op9_quality": op9_quality, "op11_filter_audit": op11_filter_audit, "op12_conversation_repair": op12_conversation_repair}
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_byte_bpe": op3_byte_bpe, "op10_warc": op10_warc, "op4_line_frequency": op4_line_frequency, "op2_decontaminate": op2_decontaminate, "op8_jaccard_join": op8_jaccard_join, "op6_passages": op6_passages, "op1_language": op1_language, "op5_toxicity": op5_toxicity, "op7_licenses": op7_licenses, "op9_quality": op9_quality, "op11_filter_audit": op11_filter_audit, "op12_conversation_repair": op12_conversation_repair, "op13_nearest": op13_nearest}
 
 #: DuckDB statements for the same rows, where SQL can express them on whole tables.
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_line_frequency": sql.OP4, "op7_licenses": sql.OP7, "op8_jaccard_join": sql.OP8, "op11_filter_audit": sql.OP11}

@@ -11,4 +11,4 @@ def test_same_as_sql(spark, sf, same_rows, name):
 
 
 def test_all_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
