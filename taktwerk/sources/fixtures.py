@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taktwerk.operators.versioned import latest_version
-from taktwerk.sources.schema import STOP_EVENT_KEY
+from taktwerk.sources.schema import OCCUPANCY, PRODUCTS, STOP_EVENT_KEY
 
 DAY, FROM, TO, AS_OF = "1995-06-17", "1995-06-01", "1995-06-30", "2001-08-02"
 LINE, VEHICLE = "U1", 1007
@@ -60,6 +60,53 @@ class Fixtures:
         """One row for each key, the latest."""
         return latest_version(self.raw_stop_events, STOP_EVENT_KEY, "updated_at", "l_linenumber", "l_suppkey", "l_extendedprice").drop("updated_at", "l_linenumber", "l_suppkey", "l_extendedprice")
 
+    def trip_answers(self, start: str, end: str) -> DataFrame:
+        """(poll, answer): each trip of the days as the upstream tells of it, at midnight as planned and at noon with its
+        actual times; a last poll three days later moves the clock on."""
+        iso = lambda c, plus=None: F.date_format(F.col(c) if plus is None else F.timestamp_add("SECOND", plus, F.col(c)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        noon = F.col("hour") == 12
+        actual = lambda kind: F.when(noon, iso(f"{kind}_soll", F.col(f"{kind}_v").cast("int")))
+        stop = F.struct(
+            F.col("vgnkennung").alias("VGNKennung"), F.concat(F.lit("VGN:"), "haltepunkt").alias("Haltepunkt"), iso("ankunft_soll").alias("AnkunftszeitSoll"), actual("ankunft").alias("AnkunftszeitIst"),
+            iso("abfahrt_soll").alias("AbfahrtszeitSoll"), actual("abfahrt").alias("AbfahrtszeitIst"),
+        )
+        key = ["fahrtnummer", "betriebstag", "produkt", "linienname", "richtung"]
+        days = F.col("betriebstag").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        rows = self.stop_events.where(days).join(self.trips.where(days).select(*key), ["fahrtnummer", "betriebstag", "produkt"]).withColumn("hour", F.explode(F.array(F.lit(0), F.lit(12))))
+        placed = F.struct(F.coalesce("ankunft_soll", "abfahrt_soll").alias("t"), "vgnkennung", stop.alias("s"))
+        trips = rows.groupBy(*key, "hour").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["s"]).alias("stops"))  # the stops of one trip
+        name = F.create_map(*[F.lit(x) for name, code in PRODUCTS.items() for x in (code, name)])
+        trip = F.struct(
+            F.col("fahrtnummer").alias("Fahrtnummer"), F.col("betriebstag").cast("string").alias("Betriebstag"), name[F.col("produkt").cast("int")].alias("Produkt"), F.col("linienname").alias("Linienname"),
+            F.concat(F.lit("Richtung"), "richtung").alias("Richtung"), F.col("stops").alias("Fahrtverlauf"),
+        )
+        poll = F.unix_millis(F.col("betriebstag").cast("timestamp")) + F.col("hour") * 3_600_000
+        out = trips.select(poll.alias("poll"), F.to_json(F.struct(trip.alias("Fahrt"), F.struct(F.lit(0).alias("RequestTime")).alias("Meta"))).alias("answer"))
+        last = f"unix_millis(timestampadd(DAY, 3, timestamp '{end}')) AS poll, '{{\"Fahrt\":{{\"Fahrtnummer\":-1,\"Betriebstag\":\"{end}\",\"Produkt\":\"Bus\",\"Fahrtverlauf\":[{{\"VGNKennung\":0}}]}}}}' AS answer"
+        return out.unionByName(self.spark.sql(f"SELECT {last}"))
+
+    def trips_answers(self, start: str, end: str) -> DataFrame:
+        """(poll, answer): the active trips of each mode, polled at midnight of each of the days."""
+        day = F.col("betriebstag")
+        when = F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        trip = F.struct(
+            F.col("fahrtnummer").alias("Fahrtnummer"), day.cast("string").alias("Betriebstag"), F.col("linienname").alias("Linienname"), F.get(F.array(*map(F.lit, ["", *OCCUPANCY, "?"])), F.col("besetzungsgrad").cast("int")).alias("Besetztgrad"),
+            F.when(F.col("fahrzeugnummer") == 0, "PVU").when(F.col("fahrzeugnummer") > 0, F.col("fahrzeugnummer").cast("string")).alias("Fahrzeugnummer"), F.concat(F.lit("Richtung"), "richtung").alias("Richtung"),
+            (F.col("faelltaus") == 1).alias("FaelltAus"), when.alias("Startzeit"), when.alias("Endzeit"),
+        )
+        name = F.create_map(*[F.lit(x) for name, code in PRODUCTS.items() for x in (code, name)])
+        rows = self.trips.where(day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("betriebstag", "produkt", trip.alias("trip"))
+        modes = rows.groupBy("betriebstag", "produkt").agg(F.collect_list("trip").alias("trips"))  # an answer holds the trips of a mode on a day
+        answer = F.struct(F.struct(name[F.col("produkt").cast("int")].alias("Produkt"), F.col("trips").alias("Fahrten")).alias("Fahrt"), F.struct(F.lit(0).alias("RequestTime")).alias("Meta"))
+        return modes.select(F.unix_millis(day.cast("timestamp")).alias("poll"), F.to_json(answer).alias("answer"))
+
+    def stops_answers(self, poll: int) -> DataFrame:
+        """(poll, answer): the stop list, in 16 answers."""
+        flags = F.concat_ws(",", *[F.when(F.col(f"produkt_{p.lower()}") > 0, F.lit(p)) for p in PRODUCTS])
+        stop = F.struct(F.col("vgnkennung").alias("VGNKennung"), F.array_join("vagkennung", ",").alias("VAGKennung"), F.col("haltestellenname").alias("Haltestellenname"), F.col("latitude").alias("Latitude"), F.col("longitude").alias("Longitude"), flags.alias("Produkte"))
+        lists = self.stops.groupBy(F.pmod("vgnkennung", F.lit(16)).alias("share")).agg(F.collect_list(stop).alias("Haltestellen"))
+        return lists.select(F.lit(poll).cast("bigint").alias("poll"), F.to_json(F.struct("Haltestellen")).alias("answer"))
+
     @property
     def events(self) -> DataFrame:
         return self.raw("events")
