@@ -153,3 +153,27 @@ def stream_tracked_trips(t: Fixtures):
         stream = feeds.itineraries(upstream.reader(t.spark, folder, "trip", stream=True))
         read_up(tracking.tracked(stream), log.sink("log"), f"{folder}/checkpoint", "update")
     return log.rows(t.spark).where("fahrtnummer > 0").select("betriebstag", "fahrtnummer", "produkt", "kind", "at_ms", "vgnkennung", "next_vgnkennung", "next_run")
+
+
+# ---------------------------------------------------------------- seen until it ends
+
+_SEEN = f""", sp AS (SELECT fahrzeugnummer, f.fahrtnummer, min(epoch_ms(coalesce(ankunft_soll, abfahrt_soll))) AS at_ms, max(epoch_ms(coalesce(ankunft_soll, abfahrt_soll))) + {tracking.KEEP_MS} AS expires_ms
+    FROM fahrten_halte f JOIN fahrten g USING (fahrtnummer, betriebstag, produkt) WHERE f.betriebstag {DAYS} GROUP BY 1, 2),
+nr AS (SELECT *, row_number() OVER (PARTITION BY fahrzeugnummer ORDER BY at_ms, expires_ms) AS i FROM sp),
+fo AS (SELECT fahrzeugnummer, i, at_ms, expires_ms, true AS passed, expires_ms AS until FROM nr WHERE i = 1
+    UNION ALL SELECT n.fahrzeugnummer, n.i, n.at_ms, n.expires_ms, n.at_ms >= until, CASE WHEN n.at_ms >= until THEN n.expires_ms ELSE until END FROM fo JOIN nr n ON n.fahrzeugnummer = fo.fahrzeugnummer AND n.i = fo.i + 1)
+SELECT fahrzeugnummer, at_ms, expires_ms FROM fo WHERE passed"""
+
+
+@query("stream_seen_until_end", _SEEN, recursive=True)
+def stream_seen_until_end(t: Fixtures):
+    """Vehicles as they are met on trips: one that is known counts again only an hour after the end of the trip that it was met on."""
+    time = F.unix_millis(F.coalesce("ankunft_soll", "abfahrt_soll").cast("timestamp"))
+    days = F.col("betriebstag").between(F.lit(FROM).cast("date"), F.lit(TO).cast("date"))
+    spans = t.stop_events.where(days).groupBy("fahrtnummer", "betriebstag", "produkt").agg(F.min(time).alias("at_ms"), (F.max(time) + tracking.KEEP_MS).alias("expires_ms"))
+    met = spans.join(t.trips.where(days).select("fahrtnummer", "betriebstag", "produkt", F.col("fahrzeugnummer").alias("key")), ["fahrtnummer", "betriebstag", "produkt"])
+    folder = shared_folder(t.spark, "seen")
+    met.select("key", "at_ms", "expires_ms").write.parquet(f"{folder}/rows")
+    table = sinks.Table(f"{folder}/passed", "key int, at_ms bigint, expires_ms bigint")
+    read_up(tracking.first_until(t.spark.readStream.schema(table.schema).parquet(f"{folder}/rows")), table.sink("seen"), f"{folder}/checkpoint", "update")
+    return table.rows(t.spark).select(F.col("key").alias("fahrzeugnummer"), "at_ms", "expires_ms")

@@ -160,3 +160,35 @@ def live(log: DataFrame) -> DataFrame:
 def index_rows(trips: DataFrame) -> DataFrame:
     """The index of live trips by line, direction and next stop, with when an entry expires."""
     return trips.where("linienname is not null and richtung is not null and next_vgnkennung is not null").select("linienname", "richtung", "next_vgnkennung", *KEY, "expires_ms")
+
+
+class Until(StatefulProcessor):
+    """Passes a row of a key if the last one that passed has expired by then."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.expires = handle.getValueState("expires", "at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        until = self.expires.get()[0] if self.expires.exists() else None
+        for at, expires in sorted((r["at_ms"], r["expires_ms"]) for r in rows):
+            if until is None or at >= until:
+                until = expires
+                yield Row(key=key[0], at_ms=at, expires_ms=expires)
+        self.expires.update((until,))
+        self.handle.registerTimer(until)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.expires.exists() and self.expires.get()[0] <= timerValues.getCurrentWatermarkInMs():
+            self.expires.clear()  # what comes from now on is later
+        return iter([])
+
+
+def first_until(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Of ``rows(key, at_ms, expires_ms)`` the first of each key, and none more before that one's own expiry; then the next.
+
+    What counts is the time of a row, not when it is read; a state goes once the watermark has passed its expiry.
+    """
+    timed = rows.where("key is not null and at_ms is not null and expires_ms is not null").withColumn("event_time", F.timestamp_millis("at_ms")).withWatermark("event_time", late)
+    kind = dict(rows.dtypes)["key"]
+    return timed.groupBy("key").transformWithState(Until(), f"key {kind}, at_ms bigint, expires_ms bigint", "update", "eventTime")
