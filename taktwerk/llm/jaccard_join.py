@@ -19,7 +19,8 @@ a list too long for one task is first cut into bands of size, as similar sets li
 Defined results: a null text, or one without words, has no shingles and is alone; fewer words than a shingle has are
 one shingle; copies and repeated rows share a class; a null doc_id is a row like any other, ignored in the smallest
 id (null if the class has no other); an empty table gives an empty table. Other columns are not read. Shingles are
-told apart by 64-bit hashes for the sizes and the identity of sets, by 40 bits in overlaps.
+told apart by 64-bit hashes throughout. Sets are made again from the texts where they are needed and never stored:
+eight bytes for each shingle, written and then shuffled, would be more than the texts themselves.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from taktwerk.llm import common
 
 SHINGLE, PERCENT = 5, 80
 SEP = common.separators("space")
-COUNT_BITS = 20
+#: Bits of the cells that count shingles and of the filters over sets: by the number of sets, within these bounds.
+COUNT_BITS, MOST_BITS = 20, 22
 #: A shingle is frequent whose count cell exceeds so many times the mean, and so many at least.
 FREQUENT_TIMES, FREQUENT_LEAST = 8, 32
 #: Shingles in a part of a group; a row counts as so many more, so that parts of short texts are bounded as well.
@@ -68,63 +70,70 @@ def shingles(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """40 bits of each hash, sorted and distinct: the low four bytes of all, then the fifth."""
-    v = np.unique(values & np.uint64((1 << 40) - 1))
-    return (v & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (v >> np.uint64(32)).astype(np.uint8).tobytes()
+def unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i8")
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    return np.frombuffer(blob, "<u4", n).astype(np.int64) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.int64) << 32)
+def set_id(s: np.ndarray) -> int:
+    return int(common.mix(np.array([common.mix(s + np.uint64(1)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(place, text): a row's place is a hash of its key and text, by which one of many copies is chosen."""
+    return docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("place"), "text")
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(rid, doc_id, text_key, sid, n, blob): row number, key, hashes of the text and of the set (null if empty), its size and content."""
+    """(doc_id, text_key, place, sid, n): key, hashes of the text, of both, and of the set (null if empty), and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, n, blob = [], [], []
+            sid, n = [], []
             for s in shingles(batch.column(3), k):
                 n.append(len(s))
-                blob.append(pack(s) if len(s) else None)
-                sid.append(int(common.mix(np.array([common.mix(s + np.uint64(1)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"rid": batch.column(0), "doc_id": batch.column(1), "text_key": batch.column(2), "sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int64()), "blob": pa.array(blob, pa.binary())})
+                sid.append(set_id(s) if len(s) else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), "place": batch.column(2), "sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "rid bigint, doc_id bigint, text_key bigint, sid bigint, n bigint, blob binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64("doc_id", F.xxhash64("text")).alias("place"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, place bigint, sid bigint, n bigint")
 
 
-def frequent_cells(sets: DataFrame) -> np.ndarray:
-    """For each of 2**20 cells of shingle hashes the shares in which its rows are dealt: 0 for the usual, one or more
+def cell_bits(sets: int) -> int:
+    """Bits of the cells that stand for sets: as many cells as there are sets, within bounds."""
+    return min(MOST_BITS, max(COUNT_BITS, sets.bit_length()))
+
+
+def frequent_cells(docs: DataFrame, bits: int, k: int = SHINGLE) -> np.ndarray:
+    """For each of 2**bits cells of shingle hashes the shares in which its rows are dealt: 0 for the usual, one or more
     where its documents are many. The counts cover all rows."""
-    mask = (1 << COUNT_BITS) - 1
+    mask = np.uint64((1 << bits) - 1)
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        cells = [unpack(blob) & mask for blob in batch.column(0).to_pylist()]
-        total += np.bincount(np.concatenate(cells), minlength=len(total))
+        cells = [s & mask for s in shingles(batch.column(0), k)]
+        total += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(total))
 
-    counts = common.summed_vector(sets.where("n > 0").select("blob"), add, 1 << COUNT_BITS)
+    counts = common.summed_vector(docs.select("text"), add, 1 << bits)
     most = FREQUENT_TIMES * counts.mean() + FREQUENT_LEAST
     return np.where(counts > most, np.minimum(np.ceil(counts / most), np.iinfo(np.uint16).max), 0).astype(np.uint16)
 
 
-def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """(h, share, sid, pos): the shingles of each set's prefix in the common order; share 0 but for frequent ones."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
-    mask = (1 << COUNT_BITS) - 1
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    mask = len(frequent) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that a task has met lately: before the shuffle a set seldom counts twice in a task
         for batch in batches:
             hs, sids, pos, share = [], [], [], []
-            for sid, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if sid in seen:
+            for s in shingles(batch.column(0), k):
+                n = len(s)
+                if not n or (sid := set_id(s)) in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(sid)
-                v = unpack(blob)
+                v = s.view(np.int64)
                 shares = shared.value[v & mask]
                 late = shares > 0
                 most = n - -(-n * percent // 100) + 1
@@ -136,7 +145,7 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> D
             if hs:
                 yield pa.RecordBatch.from_pydict({"h": np.concatenate(hs), "share": np.concatenate(share), "sid": np.concatenate(sids), "pos": np.concatenate(pos)})
 
-    return sets.where("n > 0").select("sid", "n", "blob").mapInArrow(run, "h bigint, share int, sid bigint, pos int")
+    return docs.select("text").mapInArrow(run, "h bigint, share int, sid bigint, pos int")
 
 
 def shared_postings(prefix: DataFrame) -> DataFrame:
@@ -309,7 +318,7 @@ def local_classes(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, rows in _by_group(batches, 2):
-            rows.sort(key=lambda r: r[:2])
+            rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[:2])  # a repeated row has one set
             sizes, sids = [r[0] for r in rows], [r[1] for r in rows]
             sets = [unpack(r[2]) for r in rows]
             labels, ids = np.arange(len(sids)), np.array(sids)
@@ -380,23 +389,35 @@ def _longs(names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
 
 
-def whole_sets(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (sid, rid, ...) with size n and content blob of their sets. A bit vector of fixed length
-    passes over most sets that nobody asks for before they are shuffled."""
-    mask = (1 << COUNT_BITS) - 1
+def whole_sets(wanted: DataFrame, docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``wanted`` (sid, place, ...) with size n and content blob of their sets, made again from the texts.
+
+    A bit vector passes over most rows that nobody asks for before they are shuffled. Rows that repeat key and text of
+    an asked one come along, once for each task at most."""
+    mask = (1 << bits) - 1
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
         total[np.array(batch.column(0)) & mask] = 1
 
-    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(wanted.select("sid"), add, 1 << COUNT_BITS) > 0))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common.summed_vector(wanted.select("place"), add, 1 << bits) > 0))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(shared.value).astype(bool)
+        asked, seen = np.unpackbits(shared.value).astype(bool), set()
         for batch in batches:
-            yield batch.filter(pa.array(asked[np.array(batch.column(1)) & mask])).select(["rid", "n", "blob"])
-
-    asked = sets.where("n > 0").select("rid", "sid", "n", "blob").mapInArrow(keep, "rid bigint, n bigint, blob binary")
-    return asked.join(wanted, "rid")
+            places = np.array(batch.column(0), np.int64)
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            at = []
+            for i in np.flatnonzero(asked[places & mask]).tolist():
+                if (place := int(places[i])) not in seen:
+                    seen.add(place)
+                    at.append(i)
+            rows = batch.take(pa.array(at, pa.int64()))
+            made = [(p, set_id(s), len(s), s.tobytes()) for p, s in zip(rows.column(0).to_pylist(), shingles(rows.column(1), k)) if len(s)]
+            if made:
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, t, c in zip(("place", "sid", "n", "blob"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), zip(*made))})
+
+    return placed(docs).mapInArrow(keep, "place bigint, sid bigint, n bigint, blob binary").join(wanted, ["sid", "place"])
 
 
 # ---------------------------------------------------------------- the join
@@ -445,15 +466,16 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
 def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n, component, component_id) of each document; no component where it has no words."""
     sets = common.save(shingle_sets(docs, k), "sets")
-    first = sets.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.first("n").alias("size"))
-    posts = common.save(shared_postings(prefixes(sets, frequent_cells(sets), percent)), "posts")
+    first = sets.where("n > 0").groupBy("sid").agg(F.min("place").alias("place"), F.min("doc_id").alias("least_id"), F.first("n").alias("size"))
+    bits = cell_bits(sets.count())
+    posts = common.save(shared_postings(prefixes(docs, frequent_cells(docs, bits, k), percent, k)), "posts")
     common.settle(docs.sparkSession)
 
-    keys = posts.groupBy("sid").agg(F.min_by("h", "pos").alias("key")).join(first, "sid").select("sid", "rid", "key", "size")
+    keys = posts.groupBy("sid").agg(F.min_by("h", "pos").alias("key")).join(first, "sid").select("sid", "place", "key", "size")
     keys = common.save(keys, "keys")
     long = common.save(keys.groupBy("key").agg(_parts(F.sum(_weight("size"))).alias("parts")).where("parts > 1"), "long")
-    dealt = keys.join(long, "key", "left").select("sid", "rid", "key", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    whole = whole_sets(dealt, sets).select("key", "part", "n", "sid", "blob").repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = keys.join(long, "key", "left").select("sid", "place", "key", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    whole = whole_sets(dealt, docs, bits, k).select("key", "part", "n", "sid", "blob").repartition("key", "part").sortWithinPartitions("key", "part")
     local = common.save(local_classes(whole, percent), "local")
     common.settle(docs.sparkSession)
 
@@ -464,7 +486,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lists = common.save(_between_classes(near), "near-lists")
     common.discard(near)
     common.settle(docs.sparkSession)
-    asked = common.save(whole_sets(lists.select("sid").distinct().join(first, "sid").select("sid", "rid"), sets).select("sid", "n", "blob"), "asked")
+    asked = common.save(whole_sets(lists.select("sid").distinct().join(first, "sid").select("sid", "place"), docs, bits, k).select("sid", "n", "blob").dropDuplicates(["sid"]), "asked")
     reached = common.save(common.components(linked(_dealt(lists, asked, "blob", percent), percent)), "classes")
     common.discard(lists, asked)
     leaders = local.select("sid", "leader").join(reached.select(F.col("id").alias("leader"), "component"), "leader", "left").select("sid", F.coalesce("component", "leader").alias("component"))

@@ -5,6 +5,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from taktwerk.llm import common, decontaminate, jaccard_join, passages, queries
@@ -97,9 +98,30 @@ def test_many_short_sets_take_little_memory():
     assert {frozenset(pair) for pair in links} == {frozenset((0, 4999))} and peak < 25e6
 
 
-def test_packed_sets():
-    s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
-    assert (jaccard_join.unpack(jaccard_join.pack(s)) == np.unique(s & np.uint64((1 << 40) - 1)).astype(np.int64)).all()
+def texts_that_agree(bits=40, n=3_000_000):
+    """Pairs of five-word texts without a common word whose shingles agree in their low bits, out of n random ones."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"v{i}" for i in range(4000)])
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = common.split_words(data, np.array([0, len(data)]), jaccard_join.SEP)
+    hashes = common.span_hashes(data, starts, ends)
+    chosen = rng.integers(0, len(words), (n, 5))
+    low = common.window_hashes(hashes[chosen].ravel(), 5)[::5] & np.uint64((1 << bits) - 1)
+    order = np.argsort(low)
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])
+    pairs = [(chosen[order[i]], chosen[order[i + 1]]) for i in at]
+    return [(" ".join(words[a]), " ".join(words[b])) for a, b in pairs if not set(a) & set(b)]
+
+
+def test_shingles_are_told_apart_by_all_their_bits(spark):
+    pairs = texts_that_agree()
+    assert len(pairs) >= 3
+    a, b = (next(iter(jaccard_join.shingles(pa.array([pairs[0][i]])))) for i in (0, 1))
+    assert len(a) == len(b) == 1 and a[0] != b[0] and (a[0] ^ b[0]) & np.uint64((1 << 40) - 1) == 0
+    rows = [(2 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)]
+    docs = spark.createDataFrame([*rows, *((1000 + i, t) for i, t in rows)], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs).collect()} == {i: (1, i % 1000) for i in [*(r[0] for r in rows), *(1000 + r[0] for r in rows)]}
+    assert jaccard_join.representatives(docs).count() == len(rows)
 
 
 def test_class_edges(spark, edges, nothing):
