@@ -49,6 +49,8 @@ BITS = 256
 #: Bits a shingle in the vectors that stand before an exact check.
 FINE = 64
 LEAF, FAN = 32, 8
+#: Smaller sets are kept as they are, eight bytes for each shingle; larger ones take about seven.
+RAW = 256
 
 
 # ---------------------------------------------------------------- sets
@@ -70,8 +72,24 @@ def shingles(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<i8")
+def pack(s: np.ndarray) -> bytes:
+    """A sorted set of 64-bit hashes: their top bytes, which grow, as a bit row of n ones and 256 steps, then the other seven."""
+    n = len(s)
+    if n < RAW:
+        return s.tobytes()
+    bits = np.zeros(n + 256, bool)
+    bits[np.arange(n) + (s >> np.uint64(56)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes() + s.astype("<u8").view(np.uint8).reshape(n, 8)[:, :7].tobytes()
+
+
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    if n < RAW:
+        return np.frombuffer(blob, "<i8")
+    size = (n + 256 + 7) // 8
+    out = np.empty((n, 8), np.uint8)
+    out[:, :7] = np.frombuffer(blob, np.uint8, 7 * n, size).reshape(n, 7)
+    out[:, 7] = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, size), count=n + 256)) - np.arange(n)
+    return out.reshape(-1).view("<i8")
 
 
 def set_id(s: np.ndarray) -> int:
@@ -320,7 +338,7 @@ def local_classes(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
         for _, rows in _by_group(batches, 2):
             rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[:2])  # a repeated row has one set
             sizes, sids = [r[0] for r in rows], [r[1] for r in rows]
-            sets = [unpack(r[2]) for r in rows]
+            sets = [unpack(r[2], r[0]) for r in rows]
             labels, ids = np.arange(len(sids)), np.array(sids)
             link(sizes, sets, labels, percent)
             least = {label: int(ids[labels == label].min()) for label in np.unique(labels).tolist()}
@@ -375,7 +393,7 @@ def linked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             leaders = [r[3] for r in group]
             labels = np.unique(leaders, return_inverse=True)[1]
             parts = np.array([r[0] for r in group]) if i != j else None
-            pairs = link([r[1] for r in group], [unpack(r[4]) for r in group], labels, percent, parts)
+            pairs = link([r[1] for r in group], [unpack(r[4], r[1]) for r in group], labels, percent, parts)
             out += {(leaders[x], leaders[y]) for x, y in pairs}
             if len(out) >= 4096:
                 yield _longs(("u", "v"), out)
@@ -413,7 +431,7 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, bits: int, k: int = SHINGLE)
                     seen.add(place)
                     at.append(i)
             rows = batch.take(pa.array(at, pa.int64()))
-            made = [(p, set_id(s), len(s), s.tobytes()) for p, s in zip(rows.column(0).to_pylist(), shingles(rows.column(1), k)) if len(s)]
+            made = [(p, set_id(s), len(s), pack(s)) for p, s in zip(rows.column(0).to_pylist(), shingles(rows.column(1), k)) if len(s)]
             if made:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, t, c in zip(("place", "sid", "n", "blob"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), zip(*made))})
 

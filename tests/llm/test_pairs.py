@@ -98,6 +98,14 @@ def test_many_short_sets_take_little_memory():
     assert {frozenset(pair) for pair in links} == {frozenset((0, 4999))} and peak < 25e6
 
 
+@pytest.mark.parametrize("n", [0, 1, jaccard_join.RAW - 1, jaccard_join.RAW, 300, 5000])
+def test_packed_sets(n):
+    rng = np.random.default_rng(n)
+    s = np.unique(np.concatenate([rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1] if n > 1 else [], np.uint64)]))
+    blob = jaccard_join.pack(s)
+    assert (jaccard_join.unpack(blob, len(s)).view(np.uint64) == s).all() and len(blob) <= 8 * len(s) + 8
+
+
 def texts_that_agree(bits=40, n=3_000_000):
     """Pairs of five-word texts without a common word whose shingles agree in their low bits, out of n random ones."""
     rng = np.random.default_rng(11)
