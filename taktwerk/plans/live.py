@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from taktwerk.operators import geometry, live
@@ -12,7 +13,7 @@ from taktwerk.plans.registry import query
 from taktwerk.plans.statistics import _ORDER
 from taktwerk.plans.stops import _haversine
 from taktwerk.plans.trips import _NOW, STATE, now, rows
-from taktwerk.sources.fixtures import Fixtures
+from taktwerk.sources.fixtures import DAY, Fixtures
 from taktwerk.sources.scratch import stored
 
 _ASKED = Box.of((11.2, 49.35), (10.95, 49.5))
@@ -24,8 +25,8 @@ _LIVE = STATE + (
 )
 
 
-def trips_under_way(t: Fixtures):
-    state = trip_op.at(rows(t), now()).where("not finished")
+def trips_under_way(t: Fixtures, moment: Column | None = None):
+    state = trip_op.at(rows(t), now() if moment is None else moment).where("not finished")
     own = t.trips.select("betriebstag", "fahrtnummer", "produkt", "linienname", "richtung", "fahrzeugnummer")
     return state.join(own, ["betriebstag", "fahrtnummer", "produkt"]).select(
         "betriebstag", "fahrtnummer", "produkt", "vgnkennung", "next_vgnkennung", "linienname", "richtung", "fahrzeugnummer", "progress", (F.col("ends") + 3_600_000).alias("expires_at")
@@ -117,7 +118,12 @@ def live_index_keys(t: Fixtures):
     return trips_under_way(t).groupBy(F.concat_ws(":", F.lit("LIVE:TRIP:INDEX"), *parts).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query("expired_trips", _LIVE + f" SELECT fahrtnummer, expires_at FROM live WHERE expires_at < {_NOW} ORDER BY expires_at, fahrtnummer, betriebstag LIMIT 1000")
+#: When the states were stored that a later cleaner finds run out.
+STORED = f"{DAY} 06:00:00"
+
+
+@query("expired_trips", _LIVE.replace(_NOW, f"epoch_ms(TIMESTAMP '{STORED}')") + f" SELECT fahrtnummer, expires_at FROM live WHERE expires_at < {_NOW} ORDER BY expires_at, fahrtnummer, betriebstag LIMIT 1000")
 def expired_trips(t: Fixtures):
-    """The oldest thousand that have run out, as one pass of a cleaner takes them."""
-    return trips_under_way(t).where(F.col("expires_at") < now()).orderBy("expires_at", "fahrtnummer", "betriebstag").limit(1000).select("fahrtnummer", "expires_at")
+    """Of the states of an earlier moment the oldest thousand that have run out since, as one pass of a cleaner takes them."""
+    states = trips_under_way(t, F.unix_millis(F.lit(STORED).cast("timestamp")))
+    return states.where(F.col("expires_at") < now()).orderBy("expires_at", "fahrtnummer", "betriebstag").limit(1000).select("fahrtnummer", "expires_at")

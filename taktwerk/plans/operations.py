@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from taktwerk.functions.text import direction, metric_name, occupancy_code, platform, product_code, vehicle_number
 from taktwerk.operators import operations as op
 from taktwerk.operators.live import keys_with_prefix
+from taktwerk.operators.summary import Measured
 from taktwerk.operators.versioned import latest_version
 from taktwerk.plans.registry import query
 from taktwerk.sources.fixtures import AS_OF, DAY, VEHICLE, Fixtures
+from taktwerk.sources.scratch import stored
 
 
 @query("cancelled_on_day", f"SELECT count(*) AS cancelled FROM fahrten WHERE betriebstag = DATE '{DAY}' AND faelltaus = 1")
@@ -227,7 +229,11 @@ def filled_options(t: Fixtures):
     return t.events.select("event_id", F.size(left).alias("n"))
 
 
-@query("rows_a_second", "SELECT event_type, count(*) / 1e1 AS rows_a_second FROM events GROUP BY 1", prelude=False)
+@query("rows_a_second", f"SELECT (SELECT count(*) FROM fahrten) AS read_rows, (SELECT count(*) FROM fahrten WHERE fahrzeugnummer = {VEHICLE} AND betriebstag < DATE '{AS_OF}') AS result_rows, true AS timed")
 def rows_a_second(t: Fixtures):
-    """Rows read in a second, from a summary of rows and nanoseconds."""
-    return t.events.groupBy("event_type").agg((F.count("*") / (F.lit(10_000_000_000) / F.lit(1e9))).alias("rows_a_second"))
+    """The summary of a vehicle's history, measured while it is stored: rows read and given, and whether they make a rate."""
+    measured = Measured()
+    history = measured.counted(t.trips).where((F.col("fahrzeugnummer") == VEHICLE) & (F.col("betriebstag") < F.lit(AS_OF).cast("date")))
+    _, summary = measured.run(history, lambda df: stored(df, "history"))
+    row = (summary.read_rows, summary.result_rows, summary.elapsed_ns > 0 and summary.rows_a_second > 0)
+    return t.spark.createDataFrame([row], "read_rows bigint, result_rows bigint, timed boolean")

@@ -8,7 +8,9 @@ from taktwerk.plans.operations import LIMITER
 from taktwerk.plans.registry import query
 from taktwerk.sources.fixtures import Fixtures
 from taktwerk.streaming import queries as op
-from taktwerk.streaming.run import drained, table_stream
+from taktwerk.sources.scratch import shared_folder
+from taktwerk.streaming import sinks
+from taktwerk.streaming.run import drained, read_up, table_stream
 
 
 def events(t: Fixtures):
@@ -36,3 +38,19 @@ def stream_trip_state(t: Fixtures):
 @query("stream_rate_limiter", LIMITER.format("n.drained") + " SELECT user_id AS id, count(*) FILTER (WHERE NOT blocked) AS passed, count(*) FILTER (WHERE blocked) AS blocked FROM l GROUP BY 1", prelude=False)
 def stream_rate_limiter(t: Fixtures):
     return drained(op.limited(events(t), "user_id", "ts"), "update").groupBy("id").agg(F.max("passed").alias("passed"), F.max("blocked").alias("blocked"))
+
+
+#: Views are requests, and the event right after one is its response if it is none itself and comes within the hour.
+_PAIRED = """SELECT a.event_id AS request_id, a.ts AS requested_at, epoch_us(b.ts) - epoch_us(a.ts) AS duration_us FROM events a
+LEFT JOIN (SELECT event_id - 1 AS event_id, ts FROM events WHERE event_type <> 'view') b ON a.event_id = b.event_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR
+WHERE a.event_type = 'view' AND (b.ts IS NOT NULL OR a.ts + INTERVAL 1 HOUR < (SELECT least(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type <> 'view')) - INTERVAL 1 HOUR FROM events))"""
+
+
+@query("stream_paired_calls", _PAIRED, prelude=False)
+def stream_paired_calls(t: Fixtures):
+    """Requests with their responses; without one they are timeouts, but for those of the last hours, which may still be answered."""
+    requests = events(t).where("event_type = 'view'").select(F.col("event_id").alias("request_id"), "ts")
+    responses = events(t).where("event_type <> 'view'").select((F.col("event_id") - 1).alias("request_id"), "ts")
+    table = sinks.Table(shared_folder(t.spark, "table"), "request_id bigint, requested_at timestamp, duration_us bigint")
+    read_up(op.paired(requests, responses, "1 hour"), table.sink("trace"), shared_folder(t.spark, "checkpoint"))
+    return table.rows(t.spark).select("request_id", F.col("requested_at").cast("timestamp_ntz").alias("requested_at"), "duration_us")

@@ -74,3 +74,15 @@ def limited(events: DataFrame, key: str, ts: str, a_minute: float = 10.0) -> Dat
 def snapshots(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
     """Pushes the state of a stream on a clock; a batch that takes longer delays the next, they never overlap."""
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(processingTime=every).start()
+
+
+def paired(requests: DataFrame, responses: DataFrame, within: str, late: str = "1 hour") -> DataFrame:
+    """Calls of a trace: (request_id, requested_at, duration_us), from requests and responses (request_id, ts).
+
+    A response counts within ``within`` of its request; a request without one comes out as a timeout, without a
+    duration, once the watermarks of both sides have passed that bound, and both sides' states go with it.
+    """
+    asked = requests.select("request_id", F.col("ts").cast("timestamp").alias("requested_at")).withWatermark("requested_at", late)
+    told = responses.select(F.col("request_id").alias("answered_id"), F.col("ts").cast("timestamp").alias("answered_at")).withWatermark("answered_at", late)
+    bound = (F.col("request_id") == F.col("answered_id")) & (F.col("answered_at") >= F.col("requested_at")) & (F.col("answered_at") <= F.col("requested_at") + F.expr(f"interval {within}"))
+    return asked.join(told, bound, "left_outer").select("request_id", "requested_at", (F.unix_micros("answered_at") - F.unix_micros("requested_at")).alias("duration_us"))
