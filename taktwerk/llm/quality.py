@@ -81,12 +81,13 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str, path: str, max_train
     rows = docs.select("doc_id", common.told_apart(F.col(host)).alias("host"), common.told_apart(F.col(path)).alias("path"), "text")
     rows = common.save(_measured(rows), "measures")
     labelled = rows.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-    n = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
-    bad, good = n.get(0, 0), sum(v for k, v in n.items() if k)
+    bad, good = labelled.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") != 0)).first()
     if not bad or not good:
         return rows.select("doc_id", "host", "path", F.lit(0.0).alias("evidence")), 0.5
     share = min(1.0, max_train / (bad + good))
-    train = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30)).select("x", "quality").orderBy("doc_id").toArrow()
+    spread = F.xxhash64("doc_id", F.lit(9))
+    some = labelled.where(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30)).orderBy(spread, "doc_id", F.xxhash64("x"), "quality")
+    train = some.limit(max_train).select("x", "quality").toArrow()  # however many rows an id has
     w = fit_logistic(np.array(train["x"].to_pylist()), (np.array(train["quality"].to_pylist()) > 0).astype(float))
     z = reduce(lambda a, b: a + b, (F.col("x")[i] * float(v) for i, v in enumerate(w[:-1])), F.lit(float(w[-1])))
     # the kinds weighed alike, so the log odds are against even ones: evidence alone

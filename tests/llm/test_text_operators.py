@@ -271,3 +271,14 @@ def test_ordinal_fit_against_plain_likelihood():
         b += 1.0 * err.sum(0)
     assert np.abs(w - a).max() < 0.1 and np.abs(t - b).max() < 0.1
     assert np.abs(w - true_w).max() < 0.25 and abs((t[1] - t[0]) - 1.6) < 0.25
+
+
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One id on many rows, each of them labelled more than once, does not come to the driver whole."""
+    seen = []
+    fit = quality.fit_logistic
+    monkeypatch.setattr(quality, "fit_logistic", lambda x, y: seen.append(len(x)) or fit(x, y))
+    docs = spark.createDataFrame([(1 if i < 300 else i, f"word {i} again. " * (1 + i % 7), "a", "p") for i in range(320)], "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, None), *((i, i % 2) for i in range(300, 320))], "doc_id bigint, quality int")
+    rows, share = quality.evidence(docs, labels, "source", "lang", max_train=40)
+    assert rows.count() == 320 and seen and seen[0] <= 40 and share == 310 / 620
