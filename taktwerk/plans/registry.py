@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None, prelude: bool = True, recursive: bo
     return add
 
 
-from taktwerk.plans import delays, departures, dimension, discovery, live, operations, schedule, statistics, stops, streams, trips, upstream, vehicles  # noqa: E402, F401
+from taktwerk.plans import delays, departures, dimension, discovery, jobs, live, operations, schedule, statistics, stops, streams, trips, upstream, vehicles  # noqa: E402, F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taktwerk.operators.versioned import latest_version
@@ -112,6 +112,12 @@ class Fixtures:
         return self.raw("events")
 
 
+def waited() -> tuple[Column, Column]:
+    """(wait, request) in milliseconds of the job of a stop event: one in forty waits long, one in fifty answers takes long."""
+    h = "(fahrtnummer * 31 + vgnkennung * 17)"
+    return F.expr(f"cast(if({h} % 40 = 0, 200000, {h} % 36000) as bigint)"), F.expr(f"cast({h} * 7 % 1200 + if({h} % 50 = 0, 40000, 0) as bigint)")
+
+
 #: The same tables for DuckDB.
 PRELUDE = """
 WITH haltestellen AS (SELECT (p_partkey + 1)::SMALLINT AS vgnkennung, string_split(p_type, ' ') AS vagkennung, p_name AS haltestellenname,
