@@ -33,33 +33,44 @@ def retained(log: DataFrame, ts: str, size: str, key: str, newest: Column, hours
 
 
 def limited(calls: DataFrame, key: str, ts_ms: str, cost: str, a_minute: float = 10.0, undrained: bool = False) -> DataFrame:
-    """(key, ts_ms, cost, level, blocked): a leaky counter of each key that drains ``a_minute`` by the minute.
+    """(key, ts_ms, cost, level, blocked, retry_ms): a leaky counter of each key that drains ``a_minute`` by the minute.
 
     A call passes while the drained level and its cost stay below the capacity, which is what drains in a minute; with
-    ``undrained`` the level of the last call decides, as before anything drained. A late call drains nothing. Each
-    call depends on all before it, so a key is folded in order; a task streams its sorted keys and holds one level.
+    ``undrained`` the level of the last call decides, as before anything drained. A call whose cost is null only asks:
+    it is blocked if the drained level leaves no room for a call of one, and it adds nothing; of an unknown key it is
+    not. ``retry_ms`` is when a blocked call may come back: what the level has above that room, in whole milliseconds of
+    draining (below 0 where a dearer call was blocked by its cost), else null. A late call drains nothing. Each call
+    depends on all before it, so a key is folded in order; a task streams its sorted keys and holds one level.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = level = last = None
         for batch in batches:
             df = batch.to_pandas()
-            levels, blocked = [], []
+            levels, blocked, retry = [], [], []
             for k, t, c in zip(df[key], df[ts_ms], df[cost]):
+                asks = pd.isna(c)
                 if k != at:
-                    at, level, last, stop = k, float(c), t, False
+                    at, level, last = k, None, t
+                t = max(t, last)
+                drained = 0.0 if level is None else level - (t - last) / 60_000 * a_minute
+                if level is None:
+                    stop = False
+                elif asks:
+                    stop = max(0.0, drained) >= a_minute - 1
                 else:
-                    t = max(t, last)
-                    drained = level - (t - last) / 60_000 * a_minute
                     stop = (level if undrained else drained) + c >= a_minute
-                    level, last = max(0.0, drained) + (0.0 if stop else c), t
+                if level is not None or not asks:
+                    level, last = max(0.0, drained) + (0.0 if stop or asks else float(c)), t
                 levels.append(level)
                 blocked.append(stop)
-            yield pa.RecordBatch.from_pandas(df.assign(level=pd.Series(levels, dtype="float64"), blocked=pd.Series(blocked, dtype="bool")), preserve_index=False)
+                retry.append(round((level - (a_minute - 1)) / a_minute * 60_000) if stop else None)
+            out = df.assign(level=pd.Series(levels, dtype="float64"), blocked=pd.Series(blocked, dtype="bool"), retry_ms=pd.array(retry, dtype="Int64"))
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    rows = calls.select(key, ts_ms, cost).repartition(key).sortWithinPartitions(key, ts_ms)
+    rows = calls.select(key, ts_ms, F.col(cost).cast("double").alias(cost)).repartition(key).sortWithinPartitions(key, ts_ms, cost)
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(fold, f"{key} {kinds[key]}, {ts_ms} {kinds[ts_ms]}, {cost} {kinds[cost]}, level double, blocked boolean")
+    return rows.mapInArrow(fold, f"{key} {kinds[key]}, {ts_ms} {kinds[ts_ms]}, {cost} double, level double, blocked boolean, retry_ms bigint")
 
 
 def exposition(metrics: DataFrame) -> DataFrame:

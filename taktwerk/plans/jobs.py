@@ -1,14 +1,15 @@
-"""Late jobs of a fortnight's trips and the paced resolution of the trips that boards name."""
+"""Late jobs of a month's trips and the paced resolution of the trips that boards name."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from taktwerk.operators import jobs as op
-from taktwerk.plans.departures import _BOARD, board
+from taktwerk.operators.trips import untracked
+from taktwerk.plans.delays import in_days
 from taktwerk.plans.registry import query
 from taktwerk.plans.trips import STATE, rows
-from taktwerk.sources.fixtures import DAY, Fixtures, waited
+from taktwerk.sources.fixtures import FROM, TO, Fixtures, waited
 
 _KEY = "betriebstag, fahrtnummer, produkt"
 
@@ -50,22 +51,29 @@ def late_job_counts(t: Fixtures):
 #: A lane pauses so long between two trips.
 PAUSE_MS = 4_000
 
-#: A trip is asked for once, when the first board names it; boards are read an hour before a departure, on the hour.
-_QUEUE = _BOARD + f""", dq AS (SELECT fahrtnummer, min(produkt) AS produkt, min(departs // 3600000 * 3600000 - 3600000) AS arrived_ms FROM bd WHERE fahrtnummer NOT IN (SELECT fahrtnummer FROM fahrten WHERE fahrtnummer % 3 = 0 AND betriebstag = DATE '{DAY}') GROUP BY 1),
+#: A trip is asked for once, when the first board names it; boards are read at the start of each day.
+_QUEUE = f""", dq AS (SELECT fahrtnummer, min(produkt) AS produkt, min(epoch_ms(betriebstag::TIMESTAMP)) AS arrived_ms FROM fahrten_halte WHERE betriebstag BETWEEN DATE '{FROM}' AND DATE '{TO}' AND fahrtnummer NOT IN (SELECT fahrtnummer FROM fahrten WHERE fahrtnummer % 3 = 0) GROUP BY 1),
 nq AS (SELECT *, row_number() OVER (PARTITION BY produkt ORDER BY arrived_ms, fahrtnummer) AS i FROM dq),
 pc AS (SELECT fahrtnummer, produkt, arrived_ms, i, arrived_ms AS starts_ms FROM nq WHERE i = 1
     UNION ALL SELECT n.fahrtnummer, n.produkt, n.arrived_ms, n.i, greatest(n.arrived_ms, p.starts_ms + {PAUSE_MS}) AS starts_ms FROM pc p JOIN nq n ON n.produkt = p.produkt AND n.i = p.i + 1)
-SELECT fahrtnummer, produkt, arrived_ms, starts_ms FROM pc"""
+"""
 
 
 def discovered(t: Fixtures):
-    """(fahrtnummer, produkt, arrived_ms): trips that boards name and nobody tracks."""
-    known = t.trips.where((F.col("betriebstag") == F.lit(DAY).cast("date")) & (F.col("fahrtnummer") % 3 == 0)).select("fahrtnummer")
-    hour = F.expr("departs div 3600000 * 3600000 - 3600000")
-    return board(t).join(known, "fahrtnummer", "left_anti").groupBy("fahrtnummer").agg(F.min("produkt").alias("produkt"), F.min(hour).alias("arrived_ms"))
+    """(fahrtnummer, produkt, arrived_ms): trips that boards name and nobody tracks; those of every third number are tracked."""
+    tracked = t.trips.where("fahrtnummer % 3 = 0").select("fahrtnummer")
+    named = untracked(t.stop_events.where(in_days()), tracked)
+    return named.groupBy("fahrtnummer").agg(F.min("produkt").alias("produkt"), F.min(F.unix_millis(F.col("betriebstag").cast("timestamp"))).alias("arrived_ms"))
 
 
-@query("resolution_times", _QUEUE, recursive=True)
+@query("resolution_times", _QUEUE + " SELECT fahrtnummer, produkt, arrived_ms, starts_ms FROM pc", recursive=True)
 def resolution_times(t: Fixtures):
     """When each discovered trip is resolved, a lane for each mode."""
     return op.paced(discovered(t), "produkt", "arrived_ms", "fahrtnummer", PAUSE_MS)
+
+
+@query("resolution_delays", _QUEUE + " SELECT produkt, count(*) AS n, count(*) FILTER (WHERE starts_ms > arrived_ms) AS waited, max(starts_ms - arrived_ms) AS longest_ms FROM pc GROUP BY 1", recursive=True)
+def resolution_delays(t: Fixtures):
+    """How many trips of a mode had to wait for the budget, and how long at most."""
+    wait = F.col("starts_ms") - F.col("arrived_ms")
+    return resolution_times(t).groupBy("produkt").agg(F.count("*").alias("n"), F.count_if(wait > 0).alias("waited"), F.max(wait).alias("longest_ms"))

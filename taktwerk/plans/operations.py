@@ -140,17 +140,37 @@ LIMITER = (
 )
 
 
-@query("rate_limiter_fold", LIMITER.format("n.drained") + " SELECT user_id, ts_ms, 1e0 AS cost, round(level, 6) AS level, blocked FROM l", prelude=False)
+#: What a blocked call has above the room for a call of one, in milliseconds of draining.
+_RETRY = "CASE WHEN blocked THEN round((level - 9e0) * 6e3)::BIGINT END AS retry_ms"
+
+
+@query("rate_limiter_fold", LIMITER.format("n.drained") + " SELECT user_id, ts_ms, 1e0 AS cost, round(level, 6) AS level, blocked, " + _RETRY + " FROM l", prelude=False)
 def rate_limiter_fold(t: Fixtures):
     return op.limited(_calls(t), "user_id", "ts_ms", "cost").withColumn("level", F.round("level", 6))
 
 
-@query("rate_limiter_undrained", LIMITER.format("n.level") + " SELECT user_id, ts_ms, 1e0 AS cost, round(level, 6) AS level, blocked FROM l", prelude=False)
+@query("rate_limiter_undrained", LIMITER.format("n.level") + " SELECT user_id, ts_ms, 1e0 AS cost, round(level, 6) AS level, blocked, " + _RETRY + " FROM l", prelude=False)
 def rate_limiter_undrained(t: Fixtures):
     """The variant that compares the level as the last call left it."""
     return op.limited(_calls(t), "user_id", "ts_ms", "cost", undrained=True).withColumn("level", F.round("level", 6))
 
 
+_CHECKED = (
+    "WITH RECURSIVE c AS (SELECT user_id, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_id % 5 <> 0 THEN 1e0 END AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id % 5 <> 0) AS i FROM events),"
+    " l AS (SELECT user_id, ts_ms, cost, i, cost AS level, false AS blocked FROM c WHERE i = 1"
+    " UNION ALL SELECT n.user_id, n.ts_ms, n.cost, n.i, CASE WHEN n.undrained IS NULL THEN n.cost ELSE n.drained + CASE WHEN n.drained + n.cost < 1e1 THEN 1e0 ELSE 0e0 END END AS level,"
+    " CASE WHEN n.undrained IS NULL THEN false WHEN n.cost IS NULL THEN n.drained >= 9e0 ELSE n.undrained + 1e0 >= 1e1 END AS blocked"
+    " FROM (SELECT c.*, greatest(0e0, l.level - (c.ts_ms - l.ts_ms) / 6e4 * 1e1) AS drained, l.level - (c.ts_ms - l.ts_ms) / 6e4 * 1e1 AS undrained FROM l JOIN c ON c.user_id = l.user_id AND c.i = l.i + 1) n)"
+)
+
+
+@query("rate_limiter_checked", _CHECKED + " SELECT user_id, ts_ms, cost, round(level, 6) AS level, blocked, " + _RETRY + " FROM l", prelude=False)
+def rate_limiter_checked(t: Fixtures):
+    """Every fifth call only asks whether it would be let through."""
+    asks = t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(F.col("event_id") % 5 != 0, 1.0).alias("cost"))
+    return op.limited(asks, "user_id", "ts_ms", "cost").withColumn("level", F.round("level", 6))
+
+
 @query("coded_trips", "SELECT DISTINCT CASE produkt WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS produkt, (CASE besetzungsgrad WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END)::INTEGER AS besetzungsgrad, (CASE WHEN fahrzeugnummer = 0 THEN 0 WHEN fahrzeugnummer = -1 THEN -1 ELSE fahrzeugnummer END)::INTEGER AS fahrzeugnummer, richtung::INTEGER AS richtung FROM fahrten")
 def coded_trips(t: Fixtures):
     """Texts of the upstream form brought to codes."""

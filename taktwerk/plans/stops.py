@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taktwerk.functions.text import line_label, normal_product, product_flags, stop_code
+from taktwerk.operators import pages as pages_op
 from taktwerk.operators import stops as op
 from taktwerk.operators.versioned import latest_version
 from taktwerk.plans.params import Nearby
@@ -118,6 +119,26 @@ def page_options(t: Fixtures):
     return t.raw("pages").select("page_id", F.explode(both).alias("x")).select("page_id", "x.target", "x.label")
 
 
+#: The lists of a page by what precedes each link: as many opened as the list's number, for DuckDB.
+_PAGE_LISTS = """WITH p AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS h FROM pages),
+s AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS i, x FROM (SELECT page_id, regexp_extract_all(h, '</?ul>|<a href="[^"]*">[^<]*') AS x FROM p)),
+o AS (SELECT page_id, i, x[i] AS x, len(list_filter(x[1:i], lambda y: y = '<ul>')) AS opened, len(list_filter(x[1:i], lambda y: y = '</ul>')) AS closed FROM s),
+c AS (SELECT page_id, opened AS list_no, (opened - closed) AS depth, i, x FROM o WHERE starts_with(x, '<a') AND opened > closed),
+ch AS (SELECT page_id, list_no::INTEGER AS list_no, depth::INTEGER AS depth, row_number() OVER (PARTITION BY page_id, list_no ORDER BY i)::INTEGER AS place, regexp_extract(x, 'href="([^"]*)"', 1) AS target, trim(regexp_extract(x, '>(.*)', 1)) AS label FROM c WHERE NOT contains(x, 'href=""'))"""
+
+
+@query("page_lists", _PAGE_LISTS + " SELECT page_id, list_no, depth, place, target, label FROM ch", prelude=False)
+def page_lists(t: Fixtures):
+    """The choices of each list of a page, in its order."""
+    return pages_op.choices(t.raw("pages")).drop("list_id", "parent_no")
+
+
+@query("page_stop_orders", _PAGE_LISTS + " SELECT page_id, list_no, 1::INTEGER AS direction, string_agg(target, ' ' ORDER BY place) AS stops FROM ch GROUP BY 1, 2 UNION ALL SELECT page_id, list_no, 2::INTEGER AS direction, string_agg(target, ' ' ORDER BY place DESC) AS stops FROM ch GROUP BY 1, 2", prelude=False)
+def page_stop_orders(t: Fixtures):
+    """What the lists of a page name, there and back."""
+    return pages_op.orders(pages_op.choices(t.raw("pages"))).withColumn("stops", F.array_join("stops", " "))
+
+
 @query("line_labels", "SELECT DISTINCT 'Bus-Linie ' || linienname AS name, linienname AS label FROM fahrten")
 def line_labels(t: Fixtures):
     return t.trips.select(F.concat(F.lit("Bus-Linie "), "linienname").alias("name")).distinct().select("name", line_label(F.col("name")).alias("label"))

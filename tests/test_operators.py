@@ -21,6 +21,16 @@ def test_pending_keeps_order_and_repeats(spark):
     assert [r[0] for r in df.select(trips.pending(F.col("a"), F.col("b"))).collect()] == [[3, 3, 2], [], []]
 
 
+def test_limiter_that_only_asks(spark):
+    calls = [(1, 0, None), (1, 1, 4.0), (1, 2, 5.0), (1, 3, None), (1, 3, 2.0), (1, 60_003, None), (2, 0, 9.5), (2, 0, None), (2, 3_000, None), (3, 5, None), (3, 6, 1.0)]
+    rows = operations.limited(spark.createDataFrame(calls, "k int, t long, cost double"), "k", "t", "cost").collect()
+    got = {(r.k, r.t, r.cost): (None if r.level is None else round(r.level, 3), r.blocked, r.retry_ms) for r in rows}
+    assert got == {
+        (1, 0, None): (None, False, None), (1, 1, 4.0): (4.0, False, None), (1, 2, 5.0): (9.0, False, None), (1, 3, None): (9.0, False, None), (1, 3, 2.0): (9.0, True, -2), (1, 60_003, None): (0.0, False, None),
+        (2, 0, None): (None, False, None), (2, 0, 9.5): (9.5, False, None), (2, 3_000, None): (9.0, True, 0), (3, 5, None): (None, False, None), (3, 6, 1.0): (1.0, False, None),
+    }
+
+
 def test_limiter_against_a_fold(spark):
     import random
 
