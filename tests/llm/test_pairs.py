@@ -312,7 +312,8 @@ def test_links_against_all_places():
         for g, places in where.items():
             ids = sorted(places)
             for n, u in enumerate(ids):
-                for to in sorted({ids[0], ids[n - 1]} if predecessor else {ids[0]}) if n else ():
+                earlier = ids[:n] if len(ids) <= passages.FEW else [ids[0], ids[n - 1]]
+                for to in sorted(set(earlier) if predecessor else {ids[0]}) if n else ():
                     want += [(g, u, to, p, places[to][min(j, len(places[to]) - 1)]) for j, p in enumerate(places[u])]
         row, back, first = passages.linked(h.view(np.uint64), uid // 4, uid, pos, predecessor)
         assert sorted((int(h[r]), int(uid[r]), int(uid[b]), int(pos[r]), int(pos[b])) for r, b in zip(row, back)) == sorted(want)
@@ -346,6 +347,31 @@ def test_halves_that_stood_elsewhere(spark):
     assert {r.doc_id for r in rows if r.end - r.start >= 90} == {10 * case + 3 for case in range(40)}
 
 
+@pytest.mark.parametrize("before,between", [(1, 1), (3, 3)])
+def test_strangers_do_not_hide_a_copy(spark, before, between):
+    """Reworded passages of 100 words, whose pieces of eight words also stand in other surroundings in documents before the
+    original and between it and the copy: as many as a seed is linked to all of."""
+    rng = random.Random(41)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    words = lambda n: rng.choices(vocabulary, k=n)
+    docs, spans = [], {}
+    for case in range(40):
+        passage = words(100)
+        other = list(passage)
+        for k in rng.sample(range(100), 10):
+            other[k] = f"n{rng.randrange(10**6)}"
+        pieces = [[*words(7), *passage[k : k + 8]] for k in range(0, 96, 4)]
+        strangers = [" ".join(w for piece in rng.sample(pieces, len(pieces)) for w in piece) for _ in range(before + between)]
+        texts = [*strangers[:before], " ".join(words(30) + passage + words(30)), *strangers[before:], " ".join(words(20) + other + words(20))]
+        docs += [(10 * case + n, text) for n, text in enumerate(texts)]
+        spans[10 * case + len(texts) - 1] = 10 * case + before
+    got = {}
+    for r in passages.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect():
+        if spans.get(r.doc_id) == r.source_id:
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.end - r.start
+    assert sum(got.get(i, 0) >= 80 for i in spans) >= 36, len(got)
+
+
 def test_recall_of_reworded_passages(spark):
     """150 words with 5, 10, 15 and 19 % replaced; those that an alignment of all pairs finds are found."""
     rng = random.Random(37)
