@@ -1,11 +1,11 @@
 """Quality rules from cross-document line frequency, as DataFrame operations only.
 
 Lines are normalised (white space collapsed, lower case) and hashed; for each host the distinct documents that hold
-a line are counted, documents with the same text being one (with ``count_copies`` each for itself); lines above the limit are removed, and a document that
-keeps too small a part of its words is rejected.
+a line are counted, copies of one text each for itself (without ``count_copies`` as one document); lines above the
+limit are removed, and a document that keeps too small a part of its words is rejected.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own, apart from the empty one; repeated rows
-and copies get the same verdict; lines without a word count nowhere; an empty table gives an empty table; columns
+are one document, as are rows without a key that share a host and a text; copies get the same verdict; lines without a word count nowhere; an empty table gives an empty table; columns
 other than the key, the text and the host are not read. Exact for texts of any length; lines and word triples are
 compared by 64-bit hashes.
 """
@@ -94,9 +94,17 @@ def depleted(lines: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_L
     return sums.where((F.col("words") - F.col("lost")) < F.lit(min_left) * F.col("words")).select("host", "text_key")
 
 
-def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, text: str = "text", host: str = "source") -> DataFrame:
+def counted_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", count_copies: bool = True) -> DataFrame:
+    """``line_counts``, with how many documents have the text unless copies are one document; stored."""
+    lines = line_counts(docs, text, host)
+    if count_copies:
+        lines = lines.join(text_counts(docs, key, text, host), ["host", "text_key"])
+    return common.save(lines, "lines")
+
+
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, key: str = "doc_id", text: str = "text", host: str = "source", count_copies: bool = True) -> DataFrame:
     """The documents with their frequent lines taken out of the text; all columns stay."""
-    lines = common.save(line_counts(docs, text, host), "lines")
+    lines = counted_lines(docs, key, text, host, count_copies)
     gone = removed_lines(lines, max_docs).groupBy("host", "text_key").agg(F.collect_set("line_key").alias("gone_"))
     gone = gone.select(F.col("host").alias("host_"), F.col("text_key").alias("text_key_"), "gone_")
     left = docs.join(gone, (common.told_apart(docs[host]) == gone["host_"]) & (F.xxhash64(docs[text]) == gone["text_key_"]), "left")
@@ -104,12 +112,9 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, text: str = "text", host:
     return left.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(kept)).drop("host_", "text_key_", "gone_")
 
 
-def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, key: str = "doc_id", text: str = "text", host: str = "source", count_copies: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, key: str = "doc_id", text: str = "text", host: str = "source", count_copies: bool = True) -> DataFrame:
     """The base counts of each document and ``kept``: it passed the base rules and is not depleted."""
-    lines = line_counts(docs, text, host)
-    if count_copies:
-        lines = lines.join(text_counts(docs, key, text, host), ["host", "text_key"])
-    lines = common.save(lines, "lines")
+    lines = counted_lines(docs, key, text, host, count_copies)
     out = depleted(lines, max_docs, min_left).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("gone", F.lit(True))
     base = base_rules(docs, key, text, host).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     joined = base.join(out, ["host", "text_key", "salt"], "left")

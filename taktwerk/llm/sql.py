@@ -13,7 +13,8 @@ raw AS (SELECT t, unnest(string_split(t, chr(10))) AS line FROM (SELECT DISTINCT
 dup AS (SELECT t, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 norm AS (SELECT t, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM raw),
 lines AS (SELECT host, t, line, len(line) - len(replace(line, ' ', '')) + 1 AS n FROM norm JOIN (SELECT DISTINCT host, t FROM d) USING (t) WHERE line <> ''),
-bad AS (SELECT host, line FROM lines GROUP BY 1, 2 HAVING count(DISTINCT t) > 10),
+copies AS (SELECT host, t, count(*) AS copies FROM (SELECT DISTINCT host, t, doc_id FROM d) GROUP BY 1, 2),
+bad AS (SELECT host, line FROM (SELECT DISTINCT host, t, line FROM lines) JOIN copies USING (host, t) GROUP BY 1, 2 HAVING sum(copies) > 10),
 gone AS (SELECT l.host, l.t FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.line = b.line GROUP BY 1, 2
          HAVING sum(CASE WHEN b.line IS NULL THEN l.n ELSE 0 END) < 0.3e0 * sum(l.n)),
 base AS (SELECT w.doc_id, w.host, w.t, len(w.w)::BIGINT AS n_words, len(array_to_string(w.w, ''))::BIGINT AS word_chars,

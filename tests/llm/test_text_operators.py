@@ -153,6 +153,16 @@ def test_line_limit(spark, n):
     assert {r.doc_id: (shared in r.text) for r in left.collect()} == {**{i: n <= line_rules.MAX_DOCS for i in range(n)}, 99: True}
 
 
+@pytest.mark.parametrize("n", [10, 11])
+def test_copies_are_documents_of_their_host(spark, n):
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
+    rows = [(i, text, "h") for i in range(n)] * 3 + [(90, text, "other"), (91, text, None)]  # repeated rows are one document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = {(r.doc_id, r.kept) for r in line_rules.verdicts(docs).collect()}
+    assert kept == {(i, n <= line_rules.MAX_DOCS) for i in range(n)} | {(90, True), (91, True)}
+    assert all(r.kept for r in line_rules.verdicts(docs, count_copies=False).collect())
+
+
 def test_line_edges(spark, edges, nothing):
     rows = line_rules.verdicts(edges).collect()
     assert len(rows) == edges.count()
