@@ -15,8 +15,8 @@ _KEY = "betriebstag, fahrtnummer, produkt"
 
 #: The jobs of a trip one after the other, for DuckDB.
 CHAIN = STATE + f""", q AS (SELECT {_KEY}, vgnkennung, idx, last_idx, coalesce(ab_soll, an_soll) AS planned, ab_ist AS actual,
-    CASE WHEN (fahrtnummer * 31 + vgnkennung * 17) % 40 = 0 THEN 200000 ELSE (fahrtnummer * 31 + vgnkennung * 17) % 36000 END AS wait,
-    (fahrtnummer * 31 + vgnkennung * 17) * 7 % 1200 + CASE WHEN (fahrtnummer * 31 + vgnkennung * 17) % 50 = 0 THEN 40000 ELSE 0 END AS req FROM a),
+    CASE WHEN (fahrtnummer::BIGINT * 31 + vgnkennung::BIGINT * 17) % 40 = 0 THEN 200000 ELSE (fahrtnummer::BIGINT * 31 + vgnkennung::BIGINT * 17) % 36000 END AS wait,
+    (fahrtnummer::BIGINT * 31 + vgnkennung::BIGINT * 17) * 7 % 1200 + CASE WHEN (fahrtnummer::BIGINT * 31 + vgnkennung::BIGINT * 17) % 50 = 0 THEN 40000 ELSE 0 END AS req FROM a),
 tries AS (SELECT x.*, y.planned AS n_planned, y.actual AS n_actual, x.planned - 30000 + x.wait AS t1 FROM q x LEFT JOIN q y ON x.betriebstag = y.betriebstag AND x.fahrtnummer = y.fahrtnummer AND x.produkt = y.produkt AND y.idx = x.idx + 1),
 look AS (SELECT *, CASE WHEN wait > 30000 THEN CASE WHEN idx + 1 >= last_idx THEN 'finished' ELSE 'late' END WHEN actual BETWEEN t1 AND t1 + 300000 THEN 'found' WHEN req >= 30000 THEN 'slow' WHEN idx >= last_idx THEN 'finished' END AS one,
     CASE WHEN wait + req > 30000 THEN CASE WHEN idx + 1 >= last_idx THEN 'finished' ELSE 'late' END WHEN actual BETWEEN t1 + req AND t1 + req + 300000 THEN 'found' WHEN idx + 1 >= last_idx THEN 'finished'

@@ -114,7 +114,7 @@ class Fixtures:
 
 def waited() -> tuple[Column, Column]:
     """(wait, request) in milliseconds of the job of a stop event: one in forty waits long, one in fifty answers takes long."""
-    h = "(fahrtnummer * 31 + vgnkennung * 17)"
+    h = "(cast(fahrtnummer as bigint) * 31 + cast(vgnkennung as bigint) * 17)"
     return F.expr(f"cast(if({h} % 40 = 0, 200000, {h} % 36000) as bigint)"), F.expr(f"cast({h} * 7 % 1200 + if({h} % 50 = 0, 40000, 0) as bigint)")
 
 
