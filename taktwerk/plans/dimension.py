@@ -26,7 +26,7 @@ def stored(t: Fixtures):
 
 
 def incoming(t: Fixtures):
-    return feeds.listed_stops(upstream.reader(t.spark, kept(t, "stops", t.stops_answers(EXPORTED)), "stops")).select("vgnkennung", *VALUES)
+    return feeds.listed_stops(upstream.reader(t.spark, kept(t, "stops", t.stops_answers(EXPORTED)), "stops"), t.stop_type).select("vgnkennung", *VALUES)
 
 
 @query("stop_sync", _STORED + " SELECT coalesce(h.vgnkennung, st.vgnkennung)::SMALLINT AS vgnkennung, coalesce(h.haltestellenname, st.haltestellenname) AS haltestellenname, CASE WHEN st.vgnkennung IS NULL THEN 'added' WHEN h.vgnkennung IS NULL THEN 'gone' WHEN h.haltestellenname = st.haltestellenname THEN 'same' ELSE 'changed' END AS change FROM haltestellen h FULL JOIN st ON h.vgnkennung = st.vgnkennung")

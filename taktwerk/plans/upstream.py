@@ -39,13 +39,13 @@ def upstream_active_trips(t: Fixtures):
 @query("upstream_stops", "SELECT vgnkennung, array_to_string(vagkennung, ',') AS vagkennung, haltestellenname, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, produkt_bus, produkt_ubahn, produkt_tram, produkt_sbahn, produkt_rbahn FROM haltestellen")
 def upstream_stops(t: Fixtures):
     feed = upstream.reader(t.spark, kept(t, "stops", t.stops_answers(EXPORTED)), "stops")
-    return feeds.listed_stops(feed).drop("poll").withColumns({"vagkennung": F.array_join("vagkennung", ","), "latitude": F.round("latitude", 9), "longitude": F.round("longitude", 9)})
+    return feeds.listed_stops(feed, t.stop_type).drop("poll").withColumns({"vagkennung": F.array_join("vagkennung", ","), "latitude": F.round("latitude", 9), "longitude": F.round("longitude", 9)})
 
 
 # ---------------------------------------------------------------- streams into tables
 
 TRIP_VERSIONS = "fahrtnummer int, betriebstag date, produkt tinyint, linienname string, besetzungsgrad tinyint, fahrzeugnummer int, richtung tinyint, faelltaus smallint, poll bigint"
-STOP_VERSIONS = "fahrtnummer int, betriebstag date, produkt tinyint, vgnkennung smallint, haltepunkt smallint, ankunft_soll timestamp_ntz, ankunft_v smallint, abfahrt_soll timestamp_ntz, abfahrt_v smallint, poll bigint"
+STOP_VERSIONS = "fahrtnummer int, betriebstag date, produkt tinyint, vgnkennung {}, haltepunkt smallint, ankunft_soll timestamp_ntz, ankunft_v smallint, abfahrt_soll timestamp_ntz, abfahrt_v smallint, poll bigint"
 
 
 def halves(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +80,8 @@ def stream_upserted_trips(t: Fixtures):
 @query("stream_upserted_stop_events", f"SELECT fahrtnummer, betriebstag, produkt, vgnkennung, haltepunkt, ankunft_soll, CASE WHEN ankunft_soll IS NOT NULL THEN coalesce(ankunft_v, 0) END::SMALLINT AS ankunft_v, abfahrt_soll, CASE WHEN abfahrt_soll IS NOT NULL THEN coalesce(abfahrt_v, 0) END::SMALLINT AS abfahrt_v FROM fahrten_halte WHERE betriebstag {DAYS}")
 def stream_upserted_stop_events(t: Fixtures):
     """Stop events as they were at noon: planned at first, then with their delays, of which none counts as 0."""
-    table = sinks.Table(shared_folder(t.spark, "table"), STOP_VERSIONS, ("betriebstag", "vgnkennung", "fahrtnummer", "produkt"), ("poll",), "betriebstag")
-    return upserted(t, "trip", t.trip_answers(FROM, TO), lambda feed: feeds.stop_events(feed).drop("idx", "richtungstext").where("fahrtnummer > 0"), table).drop("poll")
+    table = sinks.Table(shared_folder(t.spark, "table"), STOP_VERSIONS.format(t.event_stop_type), ("betriebstag", "vgnkennung", "fahrtnummer", "produkt"), ("poll",), "betriebstag")
+    return upserted(t, "trip", t.trip_answers(FROM, TO), lambda feed: feeds.stop_events(feed, t.event_stop_type).drop("idx", "richtungstext").where("fahrtnummer > 0"), table).drop("poll")
 
 
 @query("stream_metric_gauges", "SELECT event_type, count(*) AS points, arg_max(value, event_id) AS gauge FROM events GROUP BY 1", prelude=False)

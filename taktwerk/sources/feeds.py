@@ -28,15 +28,18 @@ def trips(feed: DataFrame) -> DataFrame:
     )
 
 
-def stop_events(feed: DataFrame) -> DataFrame:
-    """A row for each stop of each trip with delays in seconds; times too far apart for 16 bits have none. The poll stays, where there is one."""
+def stop_events(feed: DataFrame, stop: str = "smallint") -> DataFrame:
+    """A row for each stop of each trip with delays in seconds; times too far apart for 16 bits have none. The poll stays, where there is one.
+
+    ``stop`` is the type of the stop's number.
+    """
     poll = ["poll"] if "poll" in feed.columns else []
     rows = feed.select(*poll, "Fahrtnummer", "Betriebstag", "Produkt", F.col("Richtungstext").alias("to"), F.posexplode("Fahrtverlauf").alias("idx", "s"))
     time = {c: normal_time(F.col(f"s.{c}")) for c in ("AnkunftszeitSoll", "AnkunftszeitIst", "AbfahrtszeitSoll", "AbfahrtszeitIst")}
     second = lambda ms: F.date_trunc("second", F.timestamp_millis(ms)).cast("timestamp_ntz")
     delay = lambda kind: F.when(time[f"{kind}Soll"].isNotNull(), delay_seconds(time[f"{kind}Soll"], time[f"{kind}Ist"])).try_cast("smallint")
     return rows.select(
-        *poll, F.col("Fahrtnummer").alias("fahrtnummer"), F.col("Betriebstag").alias("betriebstag"), product_code(F.col("Produkt")).cast("tinyint").alias("produkt"), F.col("s.VGNKennung").cast("smallint").alias("vgnkennung"),
+        *poll, F.col("Fahrtnummer").alias("fahrtnummer"), F.col("Betriebstag").alias("betriebstag"), product_code(F.col("Produkt")).cast("tinyint").alias("produkt"), F.col("s.VGNKennung").cast(stop).alias("vgnkennung"),
         platform(F.col("s.Haltepunkt")).cast("smallint").alias("haltepunkt"), F.coalesce("s.Richtungstext", "to").alias("richtungstext"), "idx",
         second(time["AnkunftszeitSoll"]).alias("ankunft_soll"), delay("Ankunftszeit").alias("ankunft_v"), second(time["AbfahrtszeitSoll"]).alias("abfahrt_soll"), delay("Abfahrtszeit").alias("abfahrt_v"),
     )
@@ -60,9 +63,9 @@ def active_trips(feed: DataFrame) -> DataFrame:
     )
 
 
-def listed_stops(feed: DataFrame) -> DataFrame:
-    """Rows of the stop table from polls of the stop list; modes and other codes are lists by comma."""
+def listed_stops(feed: DataFrame, stop: str = "smallint") -> DataFrame:
+    """Rows of the stop table from polls of the stop list; modes and other codes are lists by comma. ``stop`` is the type of the stop's number."""
     return feed.select(
-        F.col("VGNKennung").cast("smallint").alias("vgnkennung"), F.transform(F.split("VAGKennung", ","), lambda x: F.trim(x)).alias("vagkennung"), F.col("Haltestellenname").alias("haltestellenname"), F.col("Latitude").alias("latitude"), F.col("Longitude").alias("longitude"),
+        F.col("VGNKennung").cast(stop).alias("vgnkennung"), F.transform(F.split("VAGKennung", ","), lambda x: F.trim(x)).alias("vagkennung"), F.col("Haltestellenname").alias("haltestellenname"), F.col("Latitude").alias("latitude"), F.col("Longitude").alias("longitude"),
         *[c.alias(n) for n, c in product_flags(F.col("Produkte")).items()], "poll",
     )

@@ -51,7 +51,7 @@ def write_line_order(order: DataFrame, path: str) -> None:
 
 
 def read_line_order(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("linienname string, richtung tinyint, stops array<smallint>").json(path)
+    rows = spark.read.schema("linienname string, richtung tinyint, stops array<int>").json(path)
     return rows.select("linienname", "richtung", F.posexplode("stops").alias("pos", "vgnkennung")).withColumn("pos", F.col("pos") + 1)
 
 
