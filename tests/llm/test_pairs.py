@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -372,6 +373,42 @@ def test_strangers_do_not_hide_a_copy(spark, before, between):
     assert sum(got.get(i, 0) >= 80 for i in spans) >= 36, len(got)
 
 
+def test_frequent_seeds_meet_all_earlier_documents(spark, monkeypatch):
+    """As above with so many strangers that each seed has far more than ``FEW`` documents; also dealt in parts."""
+    rng = random.Random(43)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    words = lambda n: rng.choices(vocabulary, k=n)
+    docs, spans = [], {}
+    for case in range(4):
+        passage = words(100)
+        other = list(passage)
+        for k in rng.sample(range(100), 10):
+            other[k] = f"n{rng.randrange(10**6)}"
+        pieces = [[*words(7), *passage[k : k + 8]] for k in range(0, 96, 4)]
+        strangers = [" ".join(w for piece in rng.sample(pieces, len(pieces)) for w in piece) for _ in range(10)]
+        texts = [*strangers[:5], " ".join(words(30) + passage + words(30)), *strangers[5:], " ".join(words(20) + other + words(20))]
+        docs += [(20 * case + n, text) for n, text in enumerate(texts)]
+        spans[20 * case + len(texts) - 1] = 20 * case + 5
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    for part in (passages.PART, 5):
+        monkeypatch.setattr(passages, "PART", part)
+        got = {}
+        for r in passages.passages(table).collect():
+            if spans.get(r.doc_id) == r.source_id:
+                got[r.doc_id] = got.get(r.doc_id, 0) + r.end - r.start
+        assert sum(got.get(i, 0) >= 80 for i in spans) == 4, got
+
+
+def test_word_bits_bound_what_two_texts_share():
+    rng = random.Random(5)
+    texts = [np.array([rng.choice(range(n)) for _ in range(rng.randint(4, 124))], np.uint32) for n in (3, 40, 400) for _ in range(20)]
+    bits, lost = passages.word_bits(texts)
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            shared = sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+            assert passages.common_words(x.tolist(), y.tolist()) <= shared <= int(np.bitwise_count(bits[i] & bits[j]).sum()) + min(lost[i], lost[j])
+
+
 def test_recall_of_reworded_passages(spark):
     """150 words with 5, 10, 15 and 19 % replaced; those that an alignment of all pairs finds are found."""
     rng = random.Random(37)
