@@ -409,6 +409,49 @@ def test_word_bits_bound_what_two_texts_share():
             assert passages.common_words(x.tolist(), y.tolist()) <= shared <= int(np.bitwise_count(bits[i] & bits[j]).sum()) + min(lost[i], lost[j])
 
 
+def test_bounds_of_frequent_seeds_lose_no_passage(monkeypatch):
+    """Places of one seed in runs of repeated words and around a common line: what all pairs give is found, few are aligned."""
+    rng = random.Random(47)
+    group, planted = [], {}
+    for n in range(80):
+        if n % 3:
+            words = rng.choices(range(40), k=50) + list(range(100, 116)) + rng.choices(range(40), k=50)
+            at = 52
+        else:
+            words = [w for _ in range(12) for w in [rng.randrange(4)] * rng.randint(1, 25)][:124]
+            at = rng.randint(0, len(words) - 4)
+            words, at = words[max(0, at - passages.AROUND) : at + 4 + passages.AROUND], min(at, passages.AROUND)
+            words[at : at + 4] = range(102, 106)
+        if n % 20 == 19:  # a copy of an earlier place with one word in ten replaced, but for the seed
+            words, at = list(group[n - 10][7]), group[n - 10][6]
+            for k in rng.sample([i for i in range(len(words)) if not at <= i < at + 4], len(words) // 10):
+                words[k] = 10**6 + rng.randrange(10**6)
+            planted[n] = n - 10
+        group.append((1, 0, 0, n, n, at, at, np.array(words, np.uint32), True, True, at, at + 4))
+    want = {}
+    for r in group:
+        for e in group[: r[3]]:
+            got = passages.met(r[7], e[7], r[6], e[6], 50, 80)
+            if got:
+                a, b, c, d = got
+                assert a <= r[6] and r[6] + 4 <= b and min(b - a, d - c) >= 50
+                assert 100 * passages.common_words(r[7][a:b].tolist(), e[7][c:d].tolist()) >= 80 * max(b - a, d - c)
+                want.setdefault(r[3], set()).add(e[3])
+    calls, met = [], passages.met
+    monkeypatch.setattr(passages, "met", lambda *a: calls.append(1) or met(*a))
+    found = list(passages.compared([(*r[:7], r[7].tobytes(), *r[8:]) for r in group], 50, 80))
+    assert {r[0] for r in found} == set(want) and all(r[2] in want[r[0]] for r in found)
+    assert all(old in want[new] for new, old in planted.items()) and len(calls) < 80 * 79 / 2 / 4
+
+
+def test_ends_of_runs_stand_for_repeated_words():
+    same = np.array([False, *[True] * 99, False, True, True])
+    asks = np.ones(103, bool)
+    asks[30:40] = False
+    kept = np.flatnonzero(passages.standing(same, asks, 25)).tolist()
+    assert kept == [0, 25, 29, 30, 39, 40, 50, 75, 99, 100, 102]
+
+
 def test_recall_of_reworded_passages(spark):
     """150 words with 5, 10, 15 and 19 % replaced; those that an alignment of all pairs finds are found."""
     rng = random.Random(37)
