@@ -399,6 +399,36 @@ def test_frequent_seeds_meet_all_earlier_documents(spark, monkeypatch):
         assert sum(got.get(i, 0) >= 80 for i in spans) == 4, got
 
 
+def test_places_of_frequent_seeds_go_in_rounds(spark, monkeypatch):
+    """A text of which every seed is frequent is kept once, not once a place, and rounds find what one round finds."""
+    rng = random.Random(48)
+    words = lambda n: rng.choices([f"v{i}" for i in range(4000)], k=n)
+    passage = words(100)
+    other = list(passage)
+    for k in rng.sample(range(100), 10):
+        other[k] = f"n{rng.randrange(10**6)}"
+    pieces = [[*words(7), *passage[k : k + 8]] for k in range(0, 96, 4)]
+    strangers = [" ".join(w for piece in rng.sample(pieces, len(pieces)) for w in piece) for _ in range(10)]
+    texts = [*strangers[:5], " ".join(words(30) + passage + words(30)), *strangers[5:], " ".join(words(20) + other + words(20))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept, save = [], common.save
+
+    def watched(df, name, *rows):
+        out = save(df, name, *rows)
+        kept.append((name, sum(len(x) for r in out.collect() for x in r if isinstance(x, bytes | bytearray))))
+        return out
+
+    monkeypatch.setattr(common, "save", watched)
+    found = []
+    for least in (passages.ROUND_BYTES, 1):
+        monkeypatch.setattr(passages, "ROUND_BYTES", least)
+        kept.clear()
+        found.append(sorted(map(tuple, passages.passages(table).collect())))
+        assert max(n for name, n in kept if name == "places") < 4 * sum(map(len, texts))
+        assert (sum(name == "sought" for name, _ in kept) > 3) == (least == 1)
+    assert found[0] == found[1] and any(r[:2] == (11, 5) for r in found[0])
+
+
 def test_word_bits_bound_what_two_texts_share():
     rng = random.Random(5)
     texts = [np.array([rng.choice(range(n)) for _ in range(rng.randint(4, 124))], np.uint32) for n in (3, 40, 400) for _ in range(20)]
