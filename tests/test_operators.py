@@ -1,6 +1,7 @@
 """Operators on small tables made by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,37 @@ def test_map_matching(spark):
     assert got[7][0] == pytest.approx(0.0, abs=1e-3) and got[7][1] == pytest.approx(1.0, abs=1e-3)
 
 
+def test_places_meet_the_segments_near_them(spark, monkeypatch):
+    """Grids give what all pairs give: stops of the route, crossings, places off the route and outside its box, ties; with few pairs."""
+    rng = random.Random(7)
+    point = lambda: (49.3 + rng.randrange(1000) * 3e-4, 10.9 + rng.randrange(1000) * 4e-4)
+    routes = {("L", 0): [point() for _ in range(1500)], ("L", 1): [point() for _ in range(5)], ("M", 0): [(49.4, 11.0), (49.4, 11.2), (49.4, 11.0)]}
+    segs = geometry.segments(spark.createDataFrame([(*key, i, *p) for key, points in routes.items() for i, p in enumerate(points)], "line string, route int, pos int, latitude double, longitude double"))
+    some = [*rng.sample(routes["L", 0], 60), *routes["L", 1], *(point() for _ in range(60)), (49.0, 10.0), (50.5, 11.0)]
+    rows = [("L", i, *p) for i, p in enumerate(some)] + [("L", 1000, *some[0]), ("M", 1, 49.4, 11.1), ("M", 2, 49.4, 11.2), ("X", 3, 49.4, 11.1)]
+    places = spark.createDataFrame(rows, "line string, vgnkennung int, latitude double, longitude double")
+    scaled = places.withColumn("scale", geometry.plane_scale(F.col("latitude"))).join(segs.select("line", "route").distinct(), "line")
+    order = lambda df: sorted(map(tuple, df.select("line", "route", "vgnkennung", "along", "off2").collect()))
+    want = order(geometry.nearest_of_all(scaled, segs))
+    left, whole = [], geometry.nearest_of_all
+    monkeypatch.setattr(geometry, "nearest_of_all", lambda p, s: left.append(p.count()) or whole(p, s))
+    assert order(geometry.projected(places, segs)) == want and len(want) == 2 * 128 + 2
+    assert sum(left) < len(want) * 2 / 3  # the dense route is settled by cells
+    box = segs.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("lat0", "lat1", "lon0", "lon1") for f in (F.min, F.max)]).first()
+    one = segs.where("line = 'L' and route = 0")
+    assert geometry.cells(one, box, 16).count() < 1499 * 2 * 16
+
+
+def test_positions_between_segments(spark):
+    """A position after one segment's end and before the next one's start, which rounding makes, is at the end of the former."""
+    kinds = "line string, route int, seg int, lat0 double, lon0 double, lat1 double, lon1 double, cum0 double, cum1 double"
+    segs = spark.createDataFrame([("L", 0, 1, 0.0, 0.0, 0.0, 1.0, 0.0, 1000.0), ("L", 0, 2, 0.0, 1.0, 0.0, 2.0, 1000.0 + 2e-13, 2000.0)], kinds)
+    feet = spark.createDataFrame([("L", 0, 1, 1000.0, 0.0)], "line string, route int, vgnkennung int, along double, off2 double")
+    trips_ = spark.createDataFrame([(7, "L", 1, 1, 0.5)], "id long, line string, vgnkennung int, next_vgnkennung int, progress double")
+    got = geometry.estimated(trips_, feet, segs, F.col("progress")).first()
+    assert (got.est_latitude, got.est_longitude) == (0.0, 1.0)
+
+
 def test_radius_is_inclusive_of_the_point(spark):
     df = spark.createDataFrame([(1, 49.0, 11.0), (2, 49.0, 11.1), (3, None, 11.0)], "vgnkennung int, latitude double, longitude double")
     assert [r.vgnkennung for r in stops.in_radius(df, 49.0, 11.0, 10).collect()] == [1]
